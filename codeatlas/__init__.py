@@ -1,0 +1 @@
+"""Spark jobs that turn trees of Java source into a queryable code graph."""
