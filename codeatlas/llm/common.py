@@ -1,0 +1,80 @@
+"""Small helpers that several corpus operators share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.window import Window as W
+
+#: The word separators of the quality and similarity contracts.
+SPACE_CLASS = r"[\x20\x09-\x0D]+"
+NON_SPACE_CLASS = r"[^\x20\x09-\x0D]+"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and every executor can reach.
+
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
+    local session may go without; it then gets a temporary folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and go on from the written table.
+
+    Cuts the lineage and lets several later steps read one result; the files
+    outlive any executor.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_column_types(df: DataFrame, **types: str) -> DataFrame:
+    """Cast the named columns; absent ones are added as null."""
+    for name, kind in types.items():
+        col = F.col(f"`{name}`") if name in df.columns else F.lit(None)
+        df = df.withColumn(name, col.cast(kind))
+    return df
+
+
+def bucket_count(n_rows: int, rows_per_bucket: int = 100_000) -> int:
+    """How many buckets keep the rows of one bucket near ``rows_per_bucket``."""
+    return max(1, -(-n_rows // rows_per_bucket))
+
+
+def gapless_ranks(units: DataFrame, groups: list[str], order: list[str], weight: str, buckets: int, name: str) -> DataFrame:
+    """Number the rows of every group from 0 without gaps, however large a group is.
+
+    A row stands for ``weight`` equal records and gets the first of as many
+    consecutive numbers. A group is dealt to hash buckets of ``order``; the
+    buckets are numbered on their own and moved by the totals before them, so
+    a hot group is spread over ``buckets`` tasks. ``units`` is read twice and
+    should be a written table.
+    """
+    keys = [*groups, "_bucket"]
+    b = units.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    bases = (
+        b.groupBy(*keys).agg(F.sum(weight).alias("_total"))
+        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+        .drop("_total")
+    )
+    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranked = b.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return ranked.join(bases, keys).withColumn(name, F.col("_base") + F.col("_inside")).drop("_bucket", "_base", "_inside")
+
+
+def text_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Only the id and text columns, as long and string."""
+    return df.select(F.col(id_col).cast(T.LongType()).alias("doc_id"), F.col(text_col).cast(T.StringType()).alias("text"))

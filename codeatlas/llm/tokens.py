@@ -1,0 +1,117 @@
+"""Whole texts to token ids with a public tokenizer, one cached chunk at a time.
+
+The tokenizers used here never join text across a lone space or newline, so a
+text is cut there and each distinct chunk is encoded once per Python worker.
+A chunk of Latin letters and ASCII is split by the vocabulary file's own
+pattern and its pieces go to the library's model; any other chunk, and any
+text with other white space, goes through the whole library.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import re
+from functools import cache
+from struct import pack
+
+#: Chunks, and pieces, that a worker remembers; a full memory is emptied.
+CACHE_ENTRIES = 700_000
+#: Longer chunks are encoded each time they occur, so the memory stays small.
+CACHE_CHARS = 48
+#: The last character of the Latin blocks, where normalisation changes nothing.
+LAST_LATIN = "ɏ"
+
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　Σ]")
+
+
+class _Memory(dict):
+    """Text to the bytes of its ids; what is missing is encoded and kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._encode(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+def _byte_letters() -> dict[int, int]:
+    """Bytes without a printable Latin-1 form to the letters that stand for them."""
+    hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class ChunkEncoder:
+    """Encodes texts as little-endian unsigned 32-bit ids."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
+        from tokenizers import Tokenizer
+
+        self._library = Tokenizer.from_file(path)
+        self._library.encode_special_tokens = True
+        self._model = self._library.model
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split, lower = made["pre_tokenizer"], made.get("normalizer") is not None
+        if split["type"] == "ByteLevel":
+            from public_tokenizers import PATTERN
+        else:
+            PATTERN = split["pretokenizers"][0]["pattern"]["Regex"]
+        self._lower, self._pieces = lower, regex.compile(PATTERN).findall
+        self._letters = _byte_letters()
+        self._bytes = [pack("<I", i) for i in range(self._library.get_vocab_size())]
+        self._piece = _Memory(self._encode_piece)
+        self._first = _Memory(self._encode_chunk)
+        #: Byte-level vocabularies put the space before a word into its first id.
+        self._after_space = self._first if lower else _Memory(lambda chunk: self._encode_chunk(" " + chunk))
+        self._newline = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        """The plain way, for any text."""
+        ids = self._library.encode(text, add_special_tokens=False).ids
+        return b"".join(map(self._bytes.__getitem__, ids))
+
+    def _encode_piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self._letters)
+        return b"".join([self._bytes[t.id] for t in self._model.tokenize(letters)])
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        if max(chunk) > LAST_LATIN or "İ" in chunk:
+            return self.whole(chunk)
+        piece = self._piece
+        return b"".join([piece[p] for p in self._pieces(chunk.lower() if self._lower else chunk)])
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER_SPACE.search(text):
+            return self.whole(text)
+        lines = []
+        first, later = self._first, self._after_space
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            lines.append(first[head] + b"".join([later[x] for x in rest]))
+        return self._newline.join(lines)
+
+
+@cache
+def encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder of this vocabulary file."""
+    return ChunkEncoder(path)
+
+
+def vocabulary(name: str) -> str:
+    """Path of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
