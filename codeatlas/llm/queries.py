@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, token_files
+from . import decontamination, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,47 @@ def op2_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_hash_shards, op9_token_files)}
+    return {f.__name__: f for f in (op2_jump_hash_shards, op5_positional_index, op9_token_files)}
+
+
+#: What separates the words of the decontamination contract.
+OP5_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP5_SQL = rf"""
+with recursive
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{OP5_WORD}') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{OP5_WORD}') w from benchmark),
+items as (
+  select distinct item_id, least(10, len(w)) n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') phrase
+  from b, lateral (select unnest(range(1, greatest(1, len(w) - 9) + 1)) i) where len(w) > 0
+),
+sizes as (select distinct n from items),
+places as (
+  select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') phrase
+  from d, sizes, lateral (select unnest(range(1, len(w) - n + 2)) i) where len(w) >= n
+),
+hits as (select p.doc_id, p.i, p.n, t.item_id from places p join items t using (n, phrase)),
+covered as (
+  select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from (select distinct doc_id, i, n from hits)) group by doc_id
+),
+found as (
+  select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, cast(item_id as varchar) item from hits) group by doc_id
+)
+select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join covered using (doc_id) left join found using (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL where it can express the whole result."""
+    return {"op5_positional_index": OP5_SQL}
