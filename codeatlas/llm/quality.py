@@ -1,0 +1,123 @@
+"""Quality rules with host-level verdicts.
+
+Rules are counted for every whole text with DataFrame functions only. Failures
+are added up by host, a host's rate is shrunk by a beta prior that is fitted
+to all hosts, and the verdict of the host goes back to its documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import NON_SPACE_CLASS, materialize
+
+MIN_WORDS = 10
+#: Repeated words may be at most this many percent of all words.
+MAX_REPEAT_PERCENT = 20
+WINDOW = 5
+#: Fixed value: everything that is not a symbol of the contract.
+NO_SYMBOLS = "[^#*$%&|<>]+"
+#: A host is rejected when its shrunk failure rate is above this.
+HOST_RATE = 0.5
+#: Hosts up to this many are broadcast; more are joined by shuffle.
+BROADCAST_HOSTS = 1_000_000
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({NON_SPACE_CLASS})"), 1)
+
+
+def window_hashes(ws: Column, window: int = WINDOW) -> Column:
+    """64-bit hashes of all runs of ``window`` words."""
+    spots = F.sequence(F.lit(1), F.size(ws) - (window - 1))
+    return F.transform(spots, lambda i: F.xxhash64(F.slice(ws, i, window)))
+
+
+def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``.
+
+    A null text counts as empty. Code points are counted, not bytes.
+    """
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(NON_SPACE_CLASS))
+    one = docs.select(
+        *kept, words(text).alias("_words"), F.length(F.regexp_replace(text, NO_SYMBOLS, "")).cast("long").alias("n_symbols"), lines.alias("_lines"),
+    )
+    carried = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    two = one.select(
+        *carried, "n_symbols", F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("_words") > WINDOW, window_hashes(F.col("_words"))).alias("_hashes"),
+    )
+    # only texts in which a hash repeats are looked at further: hashes are sorted with
+    # their places, equal neighbours mark repeated windows, covered words are added up
+    repeats = F.size("_hashes") > F.size(F.array_distinct("_hashes"))
+    three = two.withColumn("_pairs", F.when(repeats, F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    four = three.withColumn("_keys", F.transform("_pairs", lambda p: p["h"])).drop("_hashes")
+    last = F.size("_keys") - 1
+    neighbours = F.filter("_pairs", lambda p, k: (F.get("_keys", F.greatest(k - 1, F.lit(0))) == p["h"]) & (k > 0) | (F.get("_keys", F.least(k + 1, last)) == p["h"]) & (k < last))
+    five = four.withColumn("_spots", F.array_sort(F.transform(neighbours, lambda p: p["i"]))).drop("_pairs", "_keys")
+    covered = F.aggregate(
+        F.zip_with("_spots", F.concat(F.slice("_spots", 2, F.greatest(F.size("_spots") - 1, F.lit(0))), F.array(F.lit(2**30))), lambda a, b: F.least(b - a, F.lit(WINDOW))),
+        F.lit(0).cast("long"), lambda acc, x: acc + x,
+    )
+    six = five.withColumn("n_repeat_words", F.coalesce(F.when(F.size("_spots") > 0, covered), F.lit(0).cast("long"))).drop("_spots")
+    return six.select(
+        *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
+    )
+
+
+def host_of(docs: DataFrame, host: Column | None = None) -> DataFrame:
+    """Adds ``_host``: the given column, else the source; null hosts are one host."""
+    return docs.withColumn("_host", F.coalesce((host if host is not None else F.col("source")).cast("string"), F.lit("")))
+
+
+def host_rates(counted: DataFrame) -> DataFrame:
+    """``_host, n, failed, rate``: failure rates shrunk to the prior of all hosts.
+
+    The prior is a beta distribution fitted by moments to the rates of the
+    hosts. Where they don't vary beyond chance, or there is one host, the
+    prior is one pseudo document at the common rate.
+    """
+    by_host = counted.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = by_host.withColumn("_r", F.col("failed") / F.col("n"))
+    # one row of three numbers
+    mean, variance, inverse = hosts.agg(F.sum("failed") / F.sum("n"), F.coalesce(F.var_samp("_r"), F.lit(0.0)), F.avg(1 / F.col("n"))).first()
+    chance = (mean or 0.0) * (1 - (mean or 0.0))
+    between = max(variance - chance * (inverse or 0.0), 0.0)
+    strength = max(chance / between - 1, 1.0) if 0 < between < chance else 1.0
+    return hosts.select("_host", "n", "failed", ((F.col("failed") + strength * (mean or 0.0)) / (F.col("n") + strength)).alias("rate"))
+
+
+def with_verdicts(counted: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
+    """Adds ``host_rate`` and ``kept`` to a table of rule counts with ``_host``.
+
+    A document is kept when it passes the base rules and its host is not
+    rejected. The hosts go to all tasks only when they are counted and few;
+    else they are joined by shuffle, where Spark splits a hot host.
+    """
+    rates = materialize(host_rates(counted).select("_host", F.col("rate").alias("host_rate")), "host-rates")
+    if rates.count() <= BROADCAST_HOSTS:
+        rates = F.broadcast(rates)
+    return counted.join(rates, "_host", "left").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_rate)).drop("_host")
+
+
+def quality_report(docs: DataFrame) -> DataFrame:
+    """Counts and verdicts of every document, without its text."""
+    counted = host_of(rule_counts(docs.select("doc_id", "text", "source"))).drop("text", "source")
+    out = with_verdicts(materialize(counted, "rule-counts"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns as they are.
+
+    Rows travel in a struct, so that their column names can't clash with ours.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    flat = docs.select(row, F.col("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"))
+    counted = materialize(rule_counts(flat).drop("text"), "rule-counts")
+    return with_verdicts(counted).where("kept").select("_row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, packing, sharding, token_files
+from . import chat, decontamination, packing, quality, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +38,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_hash_shards, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op9_token_files)}
+    return {f.__name__: f for f in (op2_jump_hash_shards, op3_host_rules, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op9_token_files)}
 
 
 #: What separates the words of the decontamination contract.
@@ -66,6 +70,31 @@ from d left join covered using (doc_id) left join found using (doc_id)
 """
 
 
+OP3_SQL = r"""
+with d as (
+  select doc_id, coalesce(source, '') host, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines
+  from documents
+),
+places as (select doc_id, i, array_to_string(w[i : i + 4], ' ') g from d, lateral (select unnest(range(1, len(w) - 3)) i) where len(w) >= 5),
+again as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) n from places) where n > 1),
+covered as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 5)) p from again) group by doc_id),
+c as (
+  select d.doc_id, host, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) n_dup_lines, cast(coalesce(n, 0) as bigint) n_repeat_words
+  from d left join covered using (doc_id)
+),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from c),
+hosts as (select host, count(*) n, count(*) filter (base_failed) f from b group by host),
+m as (select sum(f) / sum(n) mean, coalesce(var_samp(f / n), 0) v, avg(1 / n) inv from hosts),
+s as (select mean, greatest(v - mean * (1 - mean) * inv, 0) b, mean * (1 - mean) c from m),
+p as (select mean, greatest(case when b > 0 and b < c then c / b - 1 else 1 end, 1) k from s),
+rates as (select host, (f + k * mean) / (n + k) rate from hosts, p)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 kept
+from b join rates using (host)
+"""
+
 OP7_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -83,4 +112,4 @@ from t group by conv_id
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the whole result."""
-    return {"op5_positional_index": OP5_SQL, "op7_grammar_round_trip": OP7_SQL}
+    return {"op3_host_rules": OP3_SQL, "op5_positional_index": OP5_SQL, "op7_grammar_round_trip": OP7_SQL}
