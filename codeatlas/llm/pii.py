@@ -1,0 +1,221 @@
+"""Personal data: patterns, and terms that give protected values away.
+
+Values found by pattern (e-mail, address, card and phone numbers) are the
+protected entities. Over all lines of the corpus it is counted how often a
+term stands in a line with an entity, and how often at all; what uncertainty
+about the entity is left to a reader who sees the term is then
+``-log2 P(entity | term)`` bits. Terms that leave too little are generalised,
+those that leave less are removed, in the documents that hold the entity.
+Only DataFrame functions are used.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import materialize
+
+#: The patterns of the contract. Quantifiers that can never give
+#: back are possessive, and a match may begin only where a run begins or the
+#: last match ended, so that long runs are read once.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+KINDS = ("email", "ip", "card", "phone")
+TERM_KIND = "term"
+
+WORD = r"\p{L}[\p{L}\p{N}]*+"
+#: A term must stand in so many different lines with an entity.
+MIN_LINES = 3
+#: Bits of uncertainty about the entity below which a term is generalised, or removed.
+GENERALISE_BITS = 2.0
+REMOVE_BITS = 1.0
+
+SPAN = "struct<kind:int,start:int,end:int,value:string,action:string>"
+
+
+def _found(text: Column, pattern: Column | str) -> Column:
+    return F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
+
+
+def located(text: Column, pattern: Column | str, values: Column, kind: int, action: Column | str = "") -> Column:
+    """Spans in code points of all matches, from the text between them."""
+    gaps = F.split(text, pattern, -1)
+    ends = F.aggregate(
+        F.arrays_zip(gaps.alias("gap"), values.alias("value")), F.array().cast("array<int>"),
+        lambda acc, z: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(z["gap"]) + F.coalesce(F.length(z["value"]), F.lit(0)))),
+    )
+    label = F.lit(action) if isinstance(action, str) else action
+    spans = F.zip_with(
+        values, F.slice(ends, 1, F.size(values)),
+        lambda v, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(v)).alias("start"), e.alias("end"), v.alias("value"), label.alias("action")),
+    )
+    return F.when(F.size(values) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]+", "")
+
+
+def _luhn(digits: Column) -> Column:
+    n = F.length(digits)
+
+    def digit(i: Column) -> Column:
+        d = F.substring(digits, n - i, F.lit(1)).cast("int") * (1 + i % 2)
+        return F.when(d > 9, d - 9).otherwise(d)
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + digit(i)) % 10 == 0
+
+
+def _valid(kind: str, value: Column) -> Column:
+    if kind == "ip":
+        return F.forall(F.split(value, r"\."), lambda p: p.cast("double") <= 255)
+    if kind == "card":
+        size = F.length(_digits(value))
+        return F.when((size >= 16) & (size <= 19), _luhn(_digits(value))).otherwise(F.lit(False))
+    if kind == "phone":
+        return F.length(_digits(value)).between(8, 15)
+    return F.lit(True)
+
+
+def _holding(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: _valid(kind, s["value"]))
+
+
+def find_values(docs: DataFrame) -> DataFrame:
+    """Adds ``_spans``: the pattern matches of ``_text`` that hold, by kind and start.
+
+    ``_text`` must not be null. Matches of one kind don't overlap; one that
+    fails its test is dropped and nothing else is tried in its place.
+    """
+    text = F.col("_text")
+    patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
+    needs = {"email": text.contains("@"), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
+    none = F.array().cast("array<string>")
+    out = docs.select("*", *[F.when(needs[k], _found(text, patterns[k])).otherwise(none).alias(f"_m_{k}") for k in KINDS])
+    parts = [_holding(located(text, patterns[k], F.col(f"_m_{k}"), i), k) for i, k in enumerate(KINDS)]
+    spans = F.when(F.size("_m_email") + F.size("_m_ip") + F.size("_m_card") + F.size("_m_phone") > 0, F.concat(*parts)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return out.select("*", spans.alias("_spans")).drop(*[f"_m_{k}" for k in KINDS])
+
+
+def _unmarked(text: Column) -> Column:
+    """The text with everything that looks like a value blanked out."""
+    return F.regexp_replace(text, "|".join((EMAIL, IP, CARD, PHONE)), " ")
+
+
+def _line_terms(line: Column) -> Column:
+    return F.array_distinct(_found(F.lower(line), WORD))
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """``term, n_lines`` over all lines of all documents, copies included."""
+    clean = F.when(F.col("_text").rlike("[0-9@]"), _unmarked(F.col("_text"))).otherwise(F.col("_text"))
+    terms = F.flatten(F.transform(F.split(clean, "\n", -1), _line_terms))
+    return texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_lines"))
+
+
+def disclosing_terms(found: DataFrame, min_lines: int = MIN_LINES, generalise_bits: float = GENERALISE_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
+    """``entity, term, bits, action`` for terms above the disclosure threshold.
+
+    ``found`` is a written table of ``find_values``, with ``_text`` null where
+    there is no value, and ``_whole`` with every text. A term counts once in a
+    line; it needs ``min_lines`` different lines with the entity, so copies of
+    one line say nothing new.
+    """
+    held = found.where(F.size("_spans") > 0)
+    per_entity = held.select("_text", F.explode(F.array_distinct(F.transform("_spans", lambda s: s["value"]))).alias("entity"))
+    lines = per_entity.select("entity", F.explode(F.filter(F.split("_text", "\n", -1), lambda line: line.contains(F.col("entity")))).alias("line"))
+    copies = lines.groupBy("entity", "line").agg(F.count("*").alias("n"))
+    pairs = copies.select("entity", "n", F.explode(_line_terms(_unmarked(F.col("line")))).alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("lines")).where(F.col("lines") >= min_lines)
+    together = materialize(together, "entity-terms")
+    counts = term_counts(found.select(F.col("_whole").alias("_text")))
+    bits = F.greatest(-F.log2(F.col("n_both") / F.col("n_lines")), F.lit(0.0))
+    return (
+        counts.join(together, "term").select("entity", "term", bits.alias("bits"))
+        .where(F.col("bits") <= generalise_bits)
+        .withColumn("action", F.when(F.col("bits") <= remove_bits, "remove").otherwise("generalise"))
+    )
+
+
+def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text") -> DataFrame:
+    """``payload`` columns with ``text`` and ``spans`` of every row.
+
+    ``spans`` (array of kind, start, end, value, action) has the pattern
+    matches by kind and start, then the disclosing terms by start; a term that
+    overlaps a pattern match is part of it. A null text is empty. Rows may
+    repeat, ids are not looked at, and copies of a text get the same spans.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_row") if payload else F.struct(F.lit(0).alias("_")).alias("_row")
+    whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    based = find_values(docs.select(row, whole.alias("_text")))
+    hit = F.size("_spans") > 0
+    kept = based.select("_row", F.col("_text").alias("_whole"), F.when(hit, F.col("_text")).alias("_text"), "_spans", F.when(hit, F.sha2(F.col("_text").cast("binary"), 256)).alias("_hash"))
+    found = materialize(kept, "values")
+    flagged = materialize(disclosing_terms(found), "disclosing-terms")
+    by_entity = flagged.groupBy("entity").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
+    held = found.where("_hash is not null")
+    entities = held.select("_hash", F.explode(F.array_distinct(F.transform("_spans", lambda s: s["value"]))).alias("entity")).distinct()
+    # a term may disclose several entities of a text: the stricter action holds ("remove" sorts last)
+    listed = entities.join(by_entity, "entity").select("_hash", F.explode("terms").alias("t")).groupBy("_hash", "t.term").agg(F.max("t.action").alias("action"))
+    terms = listed.groupBy("_hash").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "action")))).alias("_terms"))
+    joined = held.join(terms, "_hash", "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    marked = joined.withColumn("_pattern", pattern).withColumn("_words", F.when(F.col("_terms").isNotNull(), _found(F.col("_text"), F.col("_pattern"))).otherwise(F.array().cast("array<string>")))
+    spots = F.when(F.size("_words") > 0, located(F.col("_text"), F.col("_pattern"), F.col("_words"), len(KINDS))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    marked = marked.withColumn("_spots", spots)
+    free = F.filter("_spots", lambda w: ~F.exists("_spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
+    acted = F.transform(free, lambda w: w.withField("action", F.coalesce(F.try_element_at(F.col("_terms"), F.lower(w["value"])), F.lit("generalise"))))
+    with_terms = marked.select("_row", F.col("_whole").alias("text"), F.concat("_spans", acted).alias("spans"))
+    without = found.where("_hash is null").select("_row", F.col("_whole").alias("text"), F.col("_spans").alias("spans"))
+    return without.unionByName(with_terms).select("_row.*" if payload else F.col("_row"), F.col("text").alias("_text"), F.col("spans").alias("_found"))
+
+
+def redact(text: Column, spans: Column) -> Column:
+    """The text with values and disclosing terms replaced.
+
+    Values become the name of their kind; terms become a general word or go.
+    Where spans overlap, the one that begins first counts.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["action"].alias("action"))))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM_KIND)])
+    done = F.aggregate(
+        ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["action"] == "remove", "").otherwise(F.get(names, s["kind"]))).alias("out"),
+            )
+        ),
+    )
+    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data and disclosing terms replaced in ``text``.
+
+    A null text stays null; ``n_chars``, where there is one, follows the text.
+    """
+    kinds = dict(docs.dtypes)
+    out = find_disclosures(docs, docs.columns)
+    changed = F.size("_found") > 0
+    text = F.when(changed, redact(F.col("_text"), F.col("_found"))).otherwise(F.col("text"))
+    done = out.withColumn("_done", text)
+    new = {"text": F.col("_done")}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.when(changed, F.length("_done").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def pii_digest(docs: DataFrame) -> DataFrame:
+    """Counts, spans and their digest for every document."""
+    out = find_disclosures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    names = F.array(*[F.lit(k) for k in (*KINDS, TERM_KIND)])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda i: F.size(F.filter("_found", lambda s: s["kind"] == i)).cast("long")
+    base = F.filter("_found", lambda s: s["kind"] < len(KINDS))
+    return out.select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told("_found").alias("spans"),
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, packing, quality, sharding, token_files
+from . import chat, decontamination, packing, pii, quality, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_hash_shards, op3_host_rules, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op9_token_files)}
+    return {f.__name__: f for f in (op2_jump_hash_shards, op3_host_rules, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op9_token_files, op10_disclosure)}
 
 
 #: What separates the words of the decontamination contract.
