@@ -1,0 +1,225 @@
+"""Language identification by cross-parsing.
+
+Labelled text of each language becomes a suffix automaton. A text is parsed
+against it greedily: each phrase is the longest match that begins where the
+last ended. The language with the fewest phrases for the length of the text
+wins. All texts of a batch walk all automata side by side, one letter at a
+time, so that the work is array look-ups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
+
+#: Letters of labelled text in one automaton; the bound of the fitted sample.
+SAMPLE_LETTERS = 24_000
+#: At most this many labelled documents of a language, of at most so many characters.
+SAMPLE_DOCS = 96
+SAMPLE_DOC_CHARS = 6_000
+#: Distinct letters told apart; rarer ones share a code.
+ALPHABET = 96
+UNKNOWN = "und"
+#: Letters that walk at once; bounds the memory of a batch.
+BATCH_LETTERS = 1 << 22
+
+_RESTART = np.int32(1 << 30)
+_STATE = np.int32((1 << 30) - 1)
+_CODE_SPACE = 0x110000
+
+
+def letters_of(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters; a run of anything else is one space."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    out = np.where(_letter_table()[points], points, 32)
+    keep = np.ones(len(out), dtype=bool)
+    keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
+    return out[keep]
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _letter_table() -> np.ndarray:
+    """For every code point, whether it is a letter."""
+    if "letters" not in _TABLES:
+        _TABLES["letters"] = np.fromiter((chr(i).isalpha() for i in range(_CODE_SPACE)), dtype=bool, count=_CODE_SPACE)
+    return _TABLES["letters"]
+
+
+def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
+    """Transitions (state by code, 0: none) of the automaton of all substrings; the start is state 1."""
+    nxt = np.zeros((2 * len(codes) + 2, width), dtype=np.int32)
+    link, length = [0, 0], [0, 0]
+    last, size = 1, 2
+    for c in codes.tolist():
+        cur, size = size, size + 1
+        length.append(length[last] + 1)
+        link.append(1)
+        p = last
+        while p and not nxt[p, c]:
+            nxt[p, c] = cur
+            p = link[p]
+        if p:
+            q = int(nxt[p, c])
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                clone, size = size, size + 1
+                nxt[clone] = nxt[q]
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p and nxt[p, c] == q:
+                    nxt[p, c] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    return nxt[:size]
+
+
+@dataclass
+class CrossParser:
+    """Automata of all languages in one table of moves.
+
+    A move that the automaton lacks starts a new phrase at the letter: it
+    leads where the start leads with that letter, and carries a flag that is
+    added up. A letter the language never shows is a phrase by itself.
+    """
+
+    languages: list[str]
+    letters: np.ndarray  # code points told apart, sorted
+    moves: np.ndarray  # flattened state by code
+    starts: np.ndarray  # start state of each language
+    width: int
+
+    @classmethod
+    def fit(cls, samples: dict[str, list[str]], sample_letters: int = SAMPLE_LETTERS) -> CrossParser:
+        texts = {k: np.concatenate([np.zeros(0, "<u4"), *[np.append(letters_of(t), 32) for t in v]])[:sample_letters] for k, v in sorted(samples.items())}
+        known, n = np.unique(np.concatenate([np.zeros(0, "<u4"), *texts.values()]), return_counts=True)
+        letters = np.sort(known[np.argsort(-n, kind="stable")][: ALPHABET - 1])
+        width = len(letters) + 1
+        tables, starts, base = [], [], 0
+        for text in texts.values():
+            table = suffix_automaton(_codes(text, letters), width)
+            first = table[1]
+            filled = np.where(table > 0, table, np.where(first > 0, first, 1) | _RESTART)
+            tables.append(filled + base)
+            starts.append(1 + base)
+            base += len(table)
+        moves = np.concatenate(tables) if tables else np.zeros((1, width), np.int32)
+        return cls(list(texts), letters, np.ascontiguousarray(moves.ravel(), dtype=np.int32), np.array(starts, dtype=np.int32), width)
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Number of phrases of each text (rows) in each language (columns)."""
+        order = np.argsort([-len(t) for t in texts], kind="stable")
+        sizes = np.array([len(texts[i]) for i in order])
+        langs = len(self.starts)
+        counts = np.zeros((langs, len(texts)), dtype=np.int64)
+        if not len(texts) or not langs or not sizes[0]:
+            return np.zeros((len(texts), langs), dtype=np.int64)
+        flat = _codes(np.concatenate([texts[i] for i in order]), self.letters).astype(np.int32)
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        state = np.repeat(self.starts[:, None], len(texts), axis=1)
+        alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
+        width = np.int32(self.width)
+        for step in range(int(sizes[0])):
+            n = int(alive[step])
+            move = self.moves[state[:, :n] * width + flat[at[:n] + step]]
+            counts[:, :n] += move >> 30
+            state[:, :n] = move & _STATE
+        out = np.empty((len(texts), langs), dtype=np.int64)
+        out[order] = counts.T + 1
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text.
+
+        The score is the share of the winner when languages are weighed by
+        two to the power of phrases saved for every 16 letters.
+        """
+        coded = [letters_of(t) if t else np.zeros(0, "<u4") for t in texts]
+        real = [i for i, c in enumerate(coded) if (c != 32).any()]
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if not self.languages:
+            return names, scores
+        for group in _groups(real, coded):
+            rates = self.phrases([coded[i] for i in group]) / np.array([len(coded[i]) for i in group])[:, None]
+            best = rates.argmin(axis=1)
+            weights = np.exp2(-16 * (rates - rates.min(axis=1, keepdims=True)))
+            for i, b, s in zip(group, best, 1 / weights.sum(axis=1), strict=True):
+                names[i], scores[i] = self.languages[b], s
+        return names, scores
+
+
+def _codes(points: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Places of code points among the known letters; the last code is any other."""
+    key = "codes" + letters.tobytes().hex()
+    if key not in _TABLES:
+        table = np.full(_CODE_SPACE, len(letters), dtype=np.uint8)
+        table[letters] = np.arange(len(letters))
+        _TABLES[key] = table
+    return _TABLES[key][points]
+
+
+def _groups(which: list[int], coded: list[np.ndarray]) -> Iterator[list[int]]:
+    held, size = [], 0
+    for i in which:
+        held.append(i)
+        size += len(coded[i])
+        if size >= BATCH_LETTERS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
+    """A bounded sample of labelled texts of each language.
+
+    Of the allowed rows with a label and a text that is not too long, those
+    with the smallest hashes of their text. Ids and lengths are ranked first;
+    only the chosen texts are read. Lists grow with the number of languages,
+    not with the corpus.
+    """
+    rows = docs.where(allowed & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_DOC_CHARS)))
+    keyed = rows.select("lang", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).distinct()
+    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "c"))).where(F.col("r") <= per_language)
+    chosen = {(r["lang"], r["h"], r["c"]) for r in ranked.select("lang", "h", "c").collect()}
+    if not chosen:
+        return {}
+    got = rows.where(F.xxhash64("text").isin(sorted({h for _, h, _ in chosen}))).select("lang", "text", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).dropDuplicates(["lang", "h", "c"]).collect()
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in got:
+        if (r["lang"], r["h"], r["c"]) in chosen:
+            out.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return {lang: [t for _, t in sorted(v)] for lang, v in out.items()}
+
+
+def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score`` of every whole text; ``und`` and 0 where there is no letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(parser)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = shared.value.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double")
+
+
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def language_report(docs: DataFrame) -> DataFrame:
+    """Learn from three folds of four and predict every document."""
+    remainder = fold(F.col("doc_id"), 4)
+    parser = CrossParser.fit(labelled_sample(docs, remainder != 2))
+    return identify(docs, parser).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")

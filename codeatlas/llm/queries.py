@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, packing, pii, quality, sharding, token_files
+from . import chat, decontamination, language_id, packing, pii, quality, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_hash_shards, op3_host_rules, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op9_token_files, op10_disclosure)}
+    return {f.__name__: f for f in (op2_jump_hash_shards, op3_host_rules, op4_cross_parsing, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op9_token_files, op10_disclosure)}
 
 
 #: What separates the words of the decontamination contract.
