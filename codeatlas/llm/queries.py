@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language_id, packing, pii, quality, sharding, token_files
+from . import chat, decontamination, jaccard_join, language_id, packing, pii, quality, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op8_order_filtered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(spark, table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_hash_shards, op3_host_rules, op4_cross_parsing, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op9_token_files, op10_disclosure)}
+    return {f.__name__: f for f in (op2_jump_hash_shards, op3_host_rules, op4_cross_parsing, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op8_order_filtered_join, op9_token_files, op10_disclosure)}
 
 
 #: What separates the words of the decontamination contract.
