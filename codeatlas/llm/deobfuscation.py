@@ -1,0 +1,229 @@
+"""Noisy-channel restoration of disguised words.
+
+A disguised word is a lattice: each place has the letters it may stand for,
+with the cost of writing them that way. The cheapest path under a character
+language model of the corpus is its restored reading.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+#: What the usual signs for letters can stand for.
+LEET = {
+    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
+}
+#: Signs that only stand between letters.
+JOINERS = "._-*~^'’`,;:/\\#%&=​‌‍­"
+#: Costs in nats of writing a letter as a sign, of a sign put between letters, of a repeated
+#: letter, of a word end where a separator is read, and of a separator that means nothing.
+SIGN_COST, NOISE_COST, REPEAT_COST, BREAK_COST, JOIN_COST = 1.0, 1.5, 0.5, 2.0, 0.2
+#: Longer tokens are addresses, keys and the like and are left alone.
+MAX_PLACES = 40
+
+#: Letter codes: 0 is the edge of a word, a-z, then à-ÿ, then any other letter.
+CODES = 60
+_EDGE_MARKS = ".,;:!?\"'()[]{}…«»“”„‘’*#%&$~^_-=+<>|/\\"
+_TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
+_SIGN_RUN = re.compile(r"([^\w\s])\1\1+")
+_SINGLE = r"[^\W_]|[@$!|+(<€£¡]"
+_SPACED = re.compile(rf"(?<!\S)(?:(?:{_SINGLE})[ .\-_*]{{1,3}}){{2,}}(?:{_SINGLE})(?![^\s.,;:!?])")
+
+
+def code_of(letter: str) -> int:
+    o = ord(letter)
+    return o - 96 if 97 <= o <= 122 else o - 0xE0 + 27 if 0xE0 <= o <= 0xFF and o != 0xF7 else CODES - 1
+
+
+def _code_table() -> np.ndarray:
+    table = np.zeros(0x110000, dtype=np.uint8)
+    for o in range(0x110000):
+        if chr(o).isalpha():
+            table[o] = code_of(chr(o))
+    return table
+
+
+_TABLE: list[np.ndarray] = []
+
+
+def trigram_counts(texts: Iterator[str]) -> np.ndarray:
+    """Counts of letter triples of lower-cased words, edges included."""
+    if not _TABLE:
+        _TABLE.append(_code_table())
+    total = np.zeros(CODES**3, dtype=np.int64)
+    held, size = [], 0
+
+    def add() -> None:
+        points = np.frombuffer("\n\n".join(["", *held, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        codes = _TABLE[0][points]
+        keep = np.ones(len(codes), dtype=bool)
+        keep[2:] = (codes[2:] > 0) | (codes[1:-1] > 0) | (codes[:-2] > 0)
+        codes = codes[keep].astype(np.int32)
+        total[:] += np.bincount(codes[:-2] * CODES**2 + codes[1:-1] * CODES + codes[2:], minlength=CODES**3)
+
+    for text in texts:
+        held.append(text.lower())
+        size += len(text)
+        if size > 2_000_000:
+            add()
+            held, size = [], 0
+    if held:
+        add()
+    return total
+
+
+class LetterModel:
+    """Trigram letter model; costs in nats."""
+
+    def __init__(self, counts: np.ndarray):
+        # two edges stand before a word: (edge, edge, a) is read off (edge, a) by summing
+        tri = counts.reshape(CODES, CODES, CODES).astype(np.float64)
+        first = tri.sum(axis=2)  # pairs
+        tri[0, 0, :] = first[0, :]
+        one = tri.sum(axis=(0, 1)) + 0.5
+        one /= one.sum()
+        pairs = tri.sum(axis=0)
+        two = (pairs + 4 * one[None, :]) / (pairs.sum(axis=1, keepdims=True) + 4)
+        three = (tri + 4 * two[None, :, :]) / (tri.sum(axis=2, keepdims=True) + 4)
+        self.cost = -np.log(three)
+        self._rows = self.cost.tolist()
+
+    def of(self, a: int, b: int, c: int) -> float:
+        return self._rows[a][b][c]
+
+
+def letter_model(docs: DataFrame, text_col: str = "text") -> LetterModel:
+    """The model of all texts of the table. Each task sends one row for each
+    triple it saw, at most ``CODES ** 3``; so many numbers are all that is kept."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CODES**3, dtype=np.int64)
+        for batch in batches:
+            total += trigram_counts(t for t in batch.column("text").to_pylist() if t)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["triple", "n"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(CODES**3, dtype=np.int64)
+    for r in rows:
+        counts[r["triple"]] = r["n"]
+    return LetterModel(counts)
+
+
+#: A place of a lattice: readings as (letters, cost); " " is the end of a word.
+Place = list[tuple[str, float]]
+
+
+def lattice(token: str, spaced: bool = False) -> list[Place]:
+    """The places of a lower-cased token and their readings."""
+    places: list[Place] = []
+    i = 0
+    while i < len(token):
+        c = token[i]
+        j = i
+        while j < len(token) and token[j] == c:
+            j += 1
+        run = j - i
+        if c.isalpha():
+            places.append([(c, 0.0 if run == 1 else REPEAT_COST), *([(c * 2, 0.0 if run == 2 else REPEAT_COST)] if run > 1 else [])])
+        elif c in LEET:
+            readings = [(x, SIGN_COST) for x in LEET[c]]
+            if run > 1:
+                readings += [(x * 2, SIGN_COST) for x in LEET[c]]
+            if not c.isdigit():
+                readings.append(("", NOISE_COST * run))
+            places.append(readings)
+        elif spaced and (c == " " or c in JOINERS):
+            places.append([("", JOIN_COST), (" ", BREAK_COST)])
+        else:
+            places.append([("", NOISE_COST), (" ", NOISE_COST)])
+        i = j
+    return places
+
+
+def decode(places: list[Place], model: LetterModel) -> str:
+    """The cheapest reading of a lattice (Viterbi over the last two letters)."""
+    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    for place in places:
+        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        for (a, b), (cost, out) in best.items():
+            for letters, extra in place:
+                x, y, total = a, b, cost + extra
+                for letter in letters:
+                    if letter == " ":
+                        if y:
+                            total += model.of(x, y, 0)
+                        x, y = 0, 0
+                    else:
+                        c = code_of(letter)
+                        total += model.of(x, y, c)
+                        x, y = y, c
+                if (x, y) not in nxt or total < nxt[x, y][0]:
+                    nxt[x, y] = (total, out + letters)
+        best = nxt
+    ends = [(cost + (model.of(a, b, 0) if b else 0.0), out) for (a, b), (cost, out) in best.items()]
+    return min(ends)[1] if ends else ""
+
+
+def _bare(token: str) -> str:
+    """The token without runs of signs and marks at its ends."""
+    return _SIGN_RUN.sub("", token).strip(_EDGE_MARKS)
+
+
+def is_disguised(token: str) -> bool:
+    """Signs among letters, or letters repeated as no word has them."""
+    if token.isalpha():
+        return bool(_TRIPLE.search(token)) or len(_DOUBLE.findall(token)) >= 2
+    letters = sum(c.isalpha() for c in token)
+    signs = sum(c in LEET for c in token)
+    return len(token) <= MAX_PLACES and letters >= 1 and letters + signs >= 3 and "://" not in token and not ("@" in token and "." in token)
+
+
+class Restorer:
+    """Restores words; readings are remembered by the caller."""
+
+    def __init__(self, model: LetterModel):
+        self.model = model
+
+    def words(self, token: str) -> list[str]:
+        """Words of one lower-cased token without white space."""
+        edge_signs = token if any(c in "$@+!|(<" for c in token[:1] + token[-1:]) else ""
+        bare = _bare(token)
+        out = [w for w in re.split(r"[^\w]+|_", bare) if w] if not bare.isalpha() else [bare]
+        for shape in {bare, _SIGN_RUN.sub("", edge_signs).strip(".,;:?\"'")}:
+            if shape and is_disguised(shape):
+                out += [w for w in decode(lattice(shape), self.model).split(" ") if w]
+        return out
+
+    def spaced_words(self, text: str) -> list[str]:
+        """Words written letter by letter in a lower-cased text."""
+        out = []
+        for m in _SPACED.finditer(text):
+            shape = m.group()
+            while shape:  # a long run is read in lattices of bounded size
+                places = lattice(shape[: 4 * MAX_PLACES], spaced=True)
+                joined = [[r for r in place if r[0] != " "] for place in places]
+                out += [w for reading in (places, joined) for w in decode(reading, self.model).split(" ") if len(w) > 2]
+                shape = shape[4 * MAX_PLACES :]
+        return out
+
+    def restore(self, text: str) -> str:
+        """The text with every disguised word restored, lower-cased."""
+        low = prepared(text)
+        low = _SPACED.sub(lambda m: decode(lattice(m.group(), spaced=True), self.model), low)
+        return re.sub(r"\S+", lambda m: decode(lattice(_bare(m.group())), self.model) if is_disguised(_bare(m.group())) else m.group(), low)
+
+
+def prepared(text: str) -> str:
+    """Lower case; compatibility letters (full width, styled) become plain ones."""
+    if text and max(text) > "ɏ":
+        text = unicodedata.normalize("NFKC", text)
+    return text.lower()

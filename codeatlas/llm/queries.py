@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard_join, language_id, packing, pii, quality, sharding, token_files
+from . import chat, decontamination, jaccard_join, language_id, packing, pii, quality, sharding, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -50,7 +54,7 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_hash_shards, op3_host_rules, op4_cross_parsing, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op8_order_filtered_join, op9_token_files, op10_disclosure)}
+    return {f.__name__: f for f in (op1_noisy_channel, op2_jump_hash_shards, op3_host_rules, op4_cross_parsing, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op8_order_filtered_join, op9_token_files, op10_disclosure)}
 
 
 #: What separates the words of the decontamination contract.
