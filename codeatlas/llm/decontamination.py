@@ -338,7 +338,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     The verdict hangs on the text alone, so rows are matched by a 64-bit hash
     of it; ids may be null or repeat. All columns stay as they are.
     """
-    key = F.xxhash64("text")
+    key = F.xxhash64(F.col("text").cast("string"))
     found = find_contamination(docs.select(key.alias("doc_id"), "text"), benchmark, window)
     bad = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_hash")).distinct()
-    return docs.withColumn("_hash", key).join(materialize(bad, "contaminated"), "_hash", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_hash"))
+    return packed.join(materialize(bad, "contaminated"), "_hash", "left_anti").select("_row.*")

@@ -140,14 +140,14 @@ def disclosing_terms(found: DataFrame, min_lines: int = MIN_LINES, generalise_bi
 
 
 def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text") -> DataFrame:
-    """``payload`` columns with ``text`` and ``spans`` of every row.
+    """``_row`` (struct of ``payload``) with ``text`` and ``spans`` of every row.
 
     ``spans`` (array of kind, start, end, value, action) has the pattern
     matches by kind and start, then the disclosing terms by start; a term that
     overlaps a pattern match is part of it. A null text is empty. Rows may
     repeat, ids are not looked at, and copies of a text get the same spans.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_row") if payload else F.struct(F.lit(0).alias("_")).alias("_row")
+    row = F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_row")
     whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     based = find_values(docs.select(row, whole.alias("_text")))
     hit = F.size("_spans") > 0
@@ -169,7 +169,7 @@ def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text"
     acted = F.transform(free, lambda w: w.withField("action", F.coalesce(F.try_element_at(F.col("_terms"), F.lower(w["value"])), F.lit("generalise"))))
     with_terms = marked.select("_row", F.col("_whole").alias("text"), F.concat("_spans", acted).alias("spans"))
     without = found.where("_hash is null").select("_row", F.col("_whole").alias("text"), F.col("_spans").alias("spans"))
-    return without.unionByName(with_terms).select("_row.*" if payload else F.col("_row"), F.col("text").alias("_text"), F.col("spans").alias("_found"))
+    return without.unionByName(with_terms)
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -199,13 +199,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     kinds = dict(docs.dtypes)
     out = find_disclosures(docs, docs.columns)
-    changed = F.size("_found") > 0
-    text = F.when(changed, redact(F.col("_text"), F.col("_found"))).otherwise(F.col("text"))
-    done = out.withColumn("_done", text)
-    new = {"text": F.col("_done")}
+    changed = F.size("spans") > 0
+    done = out.withColumn("_done", F.when(changed, redact(F.col("text"), F.col("spans"))).otherwise(F.col("_row.text")))
+    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    columns["text"] = F.col("_done")
     if "n_chars" in kinds:
-        new["n_chars"] = F.when(changed, F.length("_done").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        columns["n_chars"] = F.when(changed, F.length("_done").cast(kinds["n_chars"])).otherwise(F.col("_row.n_chars"))
+    return done.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -213,9 +213,9 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     out = find_disclosures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
     names = F.array(*[F.lit(k) for k in (*KINDS, TERM_KIND)])
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda i: F.size(F.filter("_found", lambda s: s["kind"] == i)).cast("long")
-    base = F.filter("_found", lambda s: s["kind"] < len(KINDS))
+    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
     return out.select(
-        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-        F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told("_found").alias("spans"),
+        F.col("_row.doc_id").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"),
     )
