@@ -1,0 +1,15 @@
+"""All registered queries of the code graph, and their oracles."""
+
+from __future__ import annotations
+
+from . import resolve_queries
+
+MODULES = (resolve_queries,)
+
+
+def queries() -> dict:
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
+
+def oracles() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
