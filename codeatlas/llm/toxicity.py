@@ -9,6 +9,7 @@ fitted to the same sample.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,40 +53,37 @@ class _TokenFeatures(dict):
         return got
 
 
-def _count_features(labelled: DataFrame, model: LetterModel) -> DataFrame:
-    """``feature, toxic, clean``: texts of each label that have the feature.
+def _count_features(texts: DataFrame, model: LetterModel, wanted: frozenset[str] | None = None) -> DataFrame:
+    """``feature, n``: texts that have each feature, of the wanted ones or of all.
 
     Counts are added up in the task before they are sent.
     """
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast((model, wanted))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
-        of = _TokenFeatures(lambda token: tuple({f for w in restorer.words(token) for f in features(w)}))
+        model_, known = shared.value
+        restorer = Restorer(model_)
+        of = _TokenFeatures(lambda token: tuple({f for w in restorer.words(token) for f in features(w) if known is None or f in known}))
 
-        def told(counts: dict[str, list[int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
-                names=["feature", "toxic", "clean"],
-            )
+        def told(counts: Counter[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
-        counts: dict[str, list[int]] = {}
+        counts: Counter[str] = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 low = prepared(text or "")
                 found: set[str] = set()
                 for token in set(low.split()):
                     found.update(of[token])
                 for word in restorer.spaced_words(low):
-                    found.update(features(word))
-                for f in found:
-                    counts.setdefault(f, [0, 0])[0 if toxic else 1] += 1
+                    found.update(f for f in features(word) if known is None or f in known)
+                counts.update(found)
                 if len(counts) > 500_000:
                     yield told(counts)
-                    counts = {}
+                    counts = Counter()
         yield told(counts)
 
-    return labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "feature string, toxic long, clean long")
+    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -127,25 +125,26 @@ def _one_each(labelled: DataFrame) -> DataFrame:
     return labelled.where("toxic is not null and text is not null").groupBy(F.xxhash64("text").alias("_h")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
 
 
-def fit(labelled: DataFrame, letters: LetterModel, sample_rows: int = SAMPLE_ROWS, lexicon: int = LEXICON) -> ToxicityModel:
+def fit(labelled: DataFrame, letters: LetterModel, lexicon: int = LEXICON) -> ToxicityModel:
     """Learn from ``text`` and ``toxic`` of a bounded sample.
 
-    Equal texts count once. At most about ``sample_rows`` of the rows, by hash
-    of the text, are used. A feature is marked when, by the Chernoff bound,
+    Equal texts count once. A feature is marked when, by the Chernoff bound,
     less than one of all features would look as toxic by chance. With no
     label, or only one, nothing is marked and every score is the base rate.
     """
-    total = labelled.where("toxic is not null").count()
-    if total > sample_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
     sample = materialize(_one_each(labelled).drop("_h"), "labelled")
     n, bad = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
     base = bad / n if n else 0.0
     if not 0 < base < 1:
         return ToxicityModel(letters, {}, np.array([math.log((base + 0.01) / (1.01 - base)), 0, 0, 0, 0, 0]))
-    counts = _count_features(sample, letters).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 2")
-    counts = materialize(counts, "features")
-    tried = max(counts.count(), 1)
+    # what toxic texts have often enough to be marked if no clean text had it; the sample bounds it
+    of_toxic = materialize(_count_features(sample.where("toxic > 0"), letters), "features")
+    tried = max(of_toxic.count(), 1)
+    least = max(2, math.ceil(math.log(2 * tried) / -math.log(base)))
+    common = of_toxic.where(F.col("n") >= least).withColumnRenamed("n", "t")
+    wanted = frozenset(r["feature"] for r in common.select("feature").collect())
+    of_clean = _count_features(sample.where("toxic = 0"), letters, wanted).withColumnRenamed("n", "c")
+    counts = common.join(of_clean, "feature", "left").fillna(0, ["c"])
     rate = F.col("t") / (F.col("t") + F.col("c"))
     surprise = (F.col("t") + F.col("c")) * (rate * F.log(rate / base) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0))
     marked = counts.where((rate > max(base, 0.3)) & (surprise > math.log(2 * tried)))
@@ -194,10 +193,17 @@ def text_evidence(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
     return rows.mapInArrow(weigh, "doc_id long, strongest double, total double, marks double, tokens double, score double, marked array<string>")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
-    """Texts with their label, of the ids that are allowed; several labels of an id: the worst."""
-    worst = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(allowed).join(worst, "doc_id").select("text", "toxic")
+def labelled_texts(docs: DataFrame, labels: DataFrame, allowed: Column, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``text, toxic`` of about ``sample_rows`` of the allowed ids, by hash of the id.
+
+    Several labels of an id: the worst. The chosen labels are few by that
+    bound, so they go to the texts and no text is shuffled.
+    """
+    worst = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(allowed)
+    worst = materialize(worst, "labels")
+    share = min(1.0, sample_rows / max(worst.count(), 1))
+    chosen = worst.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
