@@ -188,7 +188,9 @@ def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = SAMPLE
     """
     rows = docs.where(allowed & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_DOC_CHARS)))
     keyed = rows.select("lang", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).distinct()
-    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "c"))).where(F.col("r") <= per_language)
+    # first inside shares of a language, so that a frequent one is ranked by many tasks
+    shares = keyed.withColumn("s", F.pmod("h", F.lit(97))).withColumn("r", F.row_number().over(W.partitionBy("lang", "s").orderBy("h", "c"))).where(F.col("r") <= per_language)
+    ranked = shares.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "c"))).where(F.col("r") <= per_language)
     chosen = {(r["lang"], r["h"], r["c"]) for r in ranked.select("lang", "h", "c").collect()}
     if not chosen:
         return {}
