@@ -1,0 +1,189 @@
+"""Registered queries on graphs, and their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G, walk as X
+from .proxy import fact, oracle
+from .resolve_queries import symbols
+
+DEPTH = 4
+
+
+def forward(spark, sf_dir):
+    return G.traversable(fact(spark, sf_dir, "edges"), G.FORWARD_KINDS)
+
+
+def reverse(spark, sf_dir):
+    return G.traversable(fact(spark, sf_dir, "edges"), G.REVERSE_KINDS, include_uncertain=False)
+
+
+def type_roots(spark, sf_dir):
+    return fact(spark, sf_dir, "types").select(F.col("id").alias("root"), "repository_id", F.col("id").alias("node_id"))
+
+
+def test_nodes(spark, sf_dir):
+    return fact(spark, sf_dir, "types").where("role = 'TEST'").select("repository_id", F.col("id").alias("node_id"))
+
+
+def handlers(spark, sf_dir):
+    """Endpoints with the type that handles them as their place in the type graph."""
+    return fact(spark, sf_dir, "endpoints").select("repository_id", F.col("id").alias("endpoint_id"), F.col("type_id").alias("method_id"), "http_method", "path")
+
+
+def externals(spark, sf_dir):
+    other = fact(spark, sf_dir, "raw_calls").where("scope_kind = 'OTHER'")
+    return other.select("repository_id", F.col("owner_id").alias("source_id"), F.concat_ws("-", "method_id", F.col("column").cast("string"), "callee", F.col("arg_count").cast("string")).alias("id"), F.col("column").alias("line")).distinct()
+
+
+def _reached_back(spark, sf_dir):
+    edges = reverse(spark, sf_dir).select("repository_id", F.col("target_id").alias("from_id"), F.col("source_id").alias("to_id"))
+    return X.reach(type_roots(spark, sf_dir), edges, DEPTH, test_nodes(spark, sf_dir))
+
+
+def d1_symbol_nodes(spark, sf_dir):
+    return G.symbol_nodes(symbols(spark, sf_dir))
+
+
+def d2_ranked_edges(spark, sf_dir):
+    return G.ranked_edges(fact(spark, sf_dir, "edges"), "source_id").select("repository_id", "source_id", "id", "edge_rank")
+
+
+def d3_endpoint_roots(spark, sf_dir):
+    return G.endpoint_roots(fact(spark, sf_dir, "endpoints"), symbols(spark, sf_dir))
+
+
+def d4_forward_reach(spark, sf_dir):
+    edges = forward(spark, sf_dir).select("repository_id", F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"))
+    return X.reach(type_roots(spark, sf_dir), edges, DEPTH)
+
+
+def d5_traversable(spark, sf_dir):
+    edges = fact(spark, sf_dir, "edges")
+    certain = G.traversable(edges, G.FORWARD_KINDS, include_uncertain=False)
+    return G.labelled(certain).select("repository_id", "id", "kind", "confidence_label")
+
+
+def d6_bound_graph(spark, sf_dir):
+    walk = X.forward_walk(type_roots(spark, sf_dir), forward(spark, sf_dir), 1, node_limit=3, edge_limit=2)
+    edges = walk.all_edges().groupBy("root", "repository_id").agg(F.count("*").alias("edges"))
+    nodes = walk.all_nodes().groupBy("root", "repository_id").agg(F.count("*").alias("nodes"))
+    return nodes.join(edges, ["root", "repository_id"], "left").join(walk.all_reasons(), ["root", "repository_id"], "left").select("root", "repository_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "reason")
+
+
+def d7_external_terminals(spark, sf_dir):
+    walk = X.forward_walk(type_roots(spark, sf_dir), forward(spark, sf_dir), 1, node_limit=10_000, edge_limit=10_000, externals=externals(spark, sf_dir))
+    return walk.all_edges().where("edge_id like 'external-edge:%'").select("root", "repository_id", "edge_id", "source_id", "target_id", "kind")
+
+
+def _endpoint_walk(spark, sf_dir):
+    roots = handlers(spark, sf_dir)
+    name = F.concat(F.lit("endpoint:"), "endpoint_id")
+    at = F.lit(0).cast("long")
+    nodes = roots.select(F.col("endpoint_id").alias("root"), "repository_id", name.alias("node_id"), F.lit(0).alias("depth"), at.alias("seq"))
+    edges = roots.select(F.col("endpoint_id").alias("root"), "repository_id", F.concat(F.lit("handles:"), "endpoint_id").alias("edge_id"), name.alias("source_id"), F.col("method_id").alias("target_id"), F.lit("HANDLES_ENDPOINT").alias("kind"), at.alias("seq"))
+    return X.forward_walk(roots.select(F.col("endpoint_id").alias("root"), "repository_id", F.col("method_id").alias("node_id")), forward(spark, sf_dir), DEPTH, before=(nodes, edges))
+
+
+def d8_endpoint_graphs(spark, sf_dir):
+    return _endpoint_walk(spark, sf_dir).all_edges().select("root", "repository_id", "edge_id", "source_id", "target_id", "kind")
+
+
+def _symbol_walk(spark, sf_dir):
+    return X.forward_walk(type_roots(spark, sf_dir), forward(spark, sf_dir), DEPTH)
+
+
+def d9_symbol_graphs(spark, sf_dir):
+    return _symbol_walk(spark, sf_dir).all_edges().select("root", "repository_id", "edge_id", "source_id", "target_id", "kind")
+
+
+def d10_file_graphs(spark, sf_dir):
+    return G.file_graphs(symbols(spark, sf_dir), node_limit=8, edge_limit=7)
+
+
+def d11_blast_radius(spark, sf_dir):
+    return _reached_back(spark, sf_dir)
+
+
+def d12_affected_endpoints(spark, sf_dir):
+    return X.affected_endpoints(_reached_back(spark, sf_dir), handlers(spark, sf_dir))
+
+
+def d13_root_entity_edges(spark, sf_dir):
+    return G.traversable(fact(spark, sf_dir, "edges"), G.ENTITY_KINDS).select(F.col("source_id").alias("root"), "repository_id", "id", "target_id", "kind", "confidence")
+
+
+def d13_bounded_blast_radius(spark, sf_dir):
+    entity = G.traversable(fact(spark, sf_dir, "edges"), G.ENTITY_KINDS)
+    walk = X.blast_radius(type_roots(spark, sf_dir), reverse(spark, sf_dir), handlers(spark, sf_dir), test_nodes(spark, sf_dir), DEPTH, 10_000, 10_000, entity)
+    return walk.all_edges().select("root", "repository_id", "edge_id", "source_id", "target_id", "kind")
+
+
+def d14_unresolved_counts(spark, sf_dir):
+    unresolved = fact(spark, sf_dir, "raw_calls").where("scope_kind = 'NONE'").select("repository_id", F.col("owner_id").alias("source_id"))
+    return G.unresolved_counts(_symbol_walk(spark, sf_dir).all_nodes(), unresolved)
+
+
+def d15_assemble_graphs(spark, sf_dir):
+    walk = _symbol_walk(spark, sf_dir)
+    whole = G.assemble_graphs(walk.all_nodes(), walk.all_edges(), walk.all_reasons())
+    return whole.select("root", "repository_id", F.size("nodes").cast("long").alias("nodes"), F.coalesce(F.size("edges"), F.lit(0)).cast("long").alias("edges"), "truncated", "reason", F.element_at("nodes", 1)["node_id"].alias("first_node"))
+
+
+def d16_edges_touching(spark, sf_dir):
+    return G.edges_touching(_symbol_walk(spark, sf_dir).all_edges())
+
+
+QUERIES = {k: v for k, v in globals().items() if k[:1] == "d" and k[1:2].isdigit()}
+
+STEPS = {
+    "fwd": "select * from edges where kind in ('CALLS', 'READS_ENTITY', 'WRITES_ENTITY', 'MANAGES_ENTITY')",
+    "back": "select * from edges where kind in ('CALLS', 'TESTS', 'IMPLEMENTS', 'REFERENCES') and confidence >= 0.7",
+    "hops": "select id root, repository_id, id node_id, 0 depth from types union select h.root, h.repository_id, e.target_id, h.depth + 1 from hops h join fwd e on e.repository_id = h.repository_id and e.source_id = h.node_id where h.depth < 4",
+    "seen": "select root, repository_id, node_id, min(depth) depth from hops group by 1, 2, 3",
+    "tests": "select id test_id from types where role = 'TEST'",
+    "steps_back": """select id root, repository_id, id node_id, 0 depth, true open from types union
+      select h.root, h.repository_id, e.source_id, h.depth + 1, not exists (select 1 from tests where test_id = e.source_id) from steps_back h join back e on e.repository_id = h.repository_id and e.target_id = h.node_id where h.depth < 4 and h.open""",
+    "seen_back": "select root, repository_id, node_id, min(depth) depth, bool_or(open or depth = 0) open from steps_back group by 1, 2, 3",
+    "eps": "select repository_id, id endpoint_id, type_id, http_method, path from endpoints",
+    "symbol_edges": "select s.root, s.repository_id, e.id edge_id, e.source_id, e.target_id, e.kind from seen s join fwd e on e.repository_id = s.repository_id and e.source_id = s.node_id where s.depth < 4",
+    "other": """select distinct repository_id, owner_id source_id, concat_ws('-', method_id, cast("column" as varchar), callee, cast(arg_count as varchar)) id, "column" line from raw_calls where scope_kind = 'OTHER'""",
+    "ranked": 'select repository_id, source_id, target_id, id, row_number() over (partition by repository_id, source_id order by confidence desc, kind, line, "column", id) edge_rank from edges',
+    "first_level": 'select source_id root, repository_id, target_id, row_number() over (partition by repository_id, source_id order by confidence desc, kind, line, "column", id) seq from fwd',
+    "fresh": """select *, target_id <> root and row_number() over (partition by root, target_id order by seq) = 1 is_new from first_level""",
+    "counted": "select *, seq - 1 e, 1 + count(*) filter (is_new) over (partition by root order by seq rows between unbounded preceding and current row) - is_new::int n from fresh",
+    "breach": "select *, case when e >= 2 then 'EDGE_LIMIT' when is_new and n >= 3 then 'NODE_LIMIT' end why from counted",
+    "cut": "select root, min(seq) filter (why is not null) stop, arg_min(why, seq) filter (why is not null) reason from breach group by root",
+}
+_GRAPH_EDGE = "root, repository_id, edge_id, source_id, target_id, kind"
+ORACLES = {
+    "d1_symbol_nodes": oracle("""select s.repository_id, s.id node_id,
+        case coalesce(p.role, case when s.parent_id is null then s.role end) when 'CONTROLLER' then 'CONTROLLER' when 'SERVICE' then 'SERVICE' when 'REPOSITORY' then 'REPOSITORY' when 'ENTITY' then 'ENTITY' when 'TEST' then 'TEST' when 'COMPONENT' then 'COMPONENT' else s.kind end node_kind,
+        s.simple_name || coalesce(s.signature, '') as label, s.qualified_name subtitle, s.relative_path, s.start_line, s.end_line, coalesce(p.role, case when s.parent_id is null then s.role end, '') roles
+      from symbols s left join symbols p on p.id = s.parent_id"""),
+    "d2_ranked_edges": oracle("select repository_id, source_id, id, edge_rank from ranked", STEPS),
+    "d3_endpoint_roots": oracle("""select e.repository_id, e.method_id, e.id endpoint_id, e.http_method, e.path, m.simple_name handler, m.relative_path path_of_source, m.start_line, m.end_line, t.qualified_name controller
+      from endpoints e join symbols m on m.id = e.method_id join symbols t on t.id = m.parent_id"""),
+    "d4_forward_reach": oracle("select * from seen", STEPS),
+    "d5_traversable": oracle("select repository_id, id, kind, case when confidence >= 0.9 then 'HIGH' when confidence >= 0.7 then 'INFERRED' else 'AMBIGUOUS' end confidence_label from fwd where confidence >= 0.7", STEPS),
+    "d6_bound_graph": oracle("""select t.id root, t.repository_id, 1 + coalesce(sum(b.is_new::int) filter (c.stop is null or b.seq < c.stop), 0)::bigint nodes, count(b.seq) filter (c.stop is null or b.seq < c.stop) edges, any_value(c.reason) reason
+      from types t left join breach b on b.root = t.id left join cut c on c.root = t.id group by 1, 2""", STEPS),
+    "d7_external_terminals": oracle("""select source_id root, repository_id, 'external-edge:' || id edge_id, source_id, 'external:' || id target_id, 'CALLS' kind
+      from (select *, row_number() over (partition by repository_id, source_id order by line, id) rn from other) x where rn <= 20""", STEPS),
+    "d8_endpoint_graphs": oracle(f"""select {_GRAPH_EDGE} from (
+        select p.endpoint_id root, p.repository_id, s.edge_id, s.source_id, s.target_id, s.kind from eps p join symbol_edges s on s.root = p.type_id
+        union all select endpoint_id, repository_id, 'handles:' || endpoint_id, 'endpoint:' || endpoint_id, type_id, 'HANDLES_ENDPOINT' from eps) x""", STEPS),
+    "d9_symbol_graphs": oracle(f"select {_GRAPH_EDGE} from symbol_edges", STEPS),
+    "d10_file_graphs": oracle("""select repository_id, relative_path, id node_id, seq, 'DECLARES' kind, n > 7 truncated, case when n > 7 then 'NODE_LIMIT' end reason
+      from (select *, row_number() over (partition by repository_id, relative_path order by start_line, id) seq, count(*) over (partition by repository_id, relative_path) n from symbols where kind = 'METHOD') x where seq <= 7"""),
+    "d11_blast_radius": oracle("select root, repository_id, node_id, depth from seen_back", STEPS),
+    "d12_affected_endpoints": oracle("select distinct s.root, s.repository_id, p.endpoint_id, 'affected:' || p.endpoint_id edge_id from seen_back s join eps p on p.type_id = s.node_id and p.repository_id = s.repository_id", STEPS),
+    "d13_root_entity_edges": oracle("select source_id root, repository_id, id, target_id, kind, confidence from edges where kind in ('READS_ENTITY', 'WRITES_ENTITY', 'MANAGES_ENTITY')"),
+    "d14_unresolved_counts": oracle("""select s.root, s.repository_id, cast(count(*) as bigint) unresolved, cast(count(*) as varchar) || ' call expression(s) could not be resolved.' warning
+      from seen s join raw_calls c on c.repository_id = s.repository_id and c.owner_id = s.node_id and c.scope_kind = 'NONE' group by 1, 2""", STEPS),
+    "d15_assemble_graphs": oracle("""select s.root, s.repository_id, count(*) nodes, coalesce(any_value(e.n), 0) edges, false truncated, cast(null as varchar) reason, s.root first_node
+      from seen s left join (select root, count(*) n from symbol_edges group by 1) e on e.root = s.root group by 1, 2""", STEPS),
+    "d16_edges_touching": oracle("""select root, repository_id, node_id, count(distinct edge_id) edges from (
+        select root, repository_id, edge_id, source_id node_id from symbol_edges union all select root, repository_id, edge_id, target_id from symbol_edges) x group by 1, 2, 3""", STEPS),
+}
