@@ -1,0 +1,113 @@
+"""Ranked search, listings and source excerpts."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
+
+RESULTS, ENDPOINTS, EXCERPT_LINES, MIN_QUERY = 20, 500, 200, 2
+#: Queries that are matched at once; more go in blocks.
+QUERY_BLOCK = 2_000
+LINE_END = r"\r\n|\r|\n"
+
+
+def normalize_queries(queries: DataFrame) -> DataFrame:
+    """Adds ``needle``: trimmed and in lower case; shorter than two characters go."""
+    return queries.withColumn("needle", F.lower(F.trim("query"))).where(F.length("needle") >= MIN_QUERY)
+
+
+def _matches(queries: DataFrame, facts: DataFrame, texts: list[Column]) -> DataFrame:
+    """Facts of which some text holds the needle; its ``%`` and ``_`` are wildcards.
+
+    A stated set of queries meets all facts in one pass each block: queries
+    are the small side and are sent to the facts by blocks of a fixed size.
+    """
+    asked = normalize_queries(queries).select("query", "needle").distinct()
+    n = asked.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    pattern = F.concat(F.lit("%"), F.col("needle"), F.lit("%"))
+    hit = reduce(lambda a, b: a | b, [F.like(F.lower(t), pattern) for t in texts])
+    parts = []
+    for k in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
+        parts.append(facts.join(F.broadcast(block), hit))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _top(found: DataFrame, order: list, most: int = RESULTS) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("query").orderBy(*order))
+    return found.withColumn("place", place.cast("long")).where(F.col("place") <= most)
+
+
+def search_endpoints(queries: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """``endpoints``: id, http_method, path, method_name, controller, relative_path. Exact paths come first."""
+    found = _matches(queries, endpoints, [F.col(c) for c in ("path", "http_method", "method_name", "controller", "relative_path")])
+    return _top(found, [(F.lower("path") != F.col("needle")).cast("int"), "path", "http_method", "id"]).select("query", "place", "id", "http_method", "path")
+
+
+def search_callables(queries: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Functions, methods and constructors by name, signature, qualified name or file. Exact names come first."""
+    callables = symbols.where(F.col("kind").isin("FUNCTION", "METHOD", "CONSTRUCTOR")).withColumn("_sig", F.coalesce("signature", F.lit("")))
+    texts = [F.col("simple_name"), F.concat("simple_name", "_sig"), F.col("qualified_name"), F.col("_sig"), F.col("relative_path")]
+    found = _matches(queries, callables, texts)
+    return _top(found, [(F.lower("simple_name") != F.col("needle")).cast("int"), "qualified_name", "start_line", "id"]).select("query", "place", "id", "simple_name", "qualified_name")
+
+
+def search_files(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """Files by path or package: exact path, then beginning, then the rest."""
+    found = _matches(queries, files, [F.col("relative_path"), F.coalesce("package_name", F.lit(""))])
+    low = F.lower("relative_path")
+    rank = F.when(low == F.col("needle"), 0).when(low.startswith(F.col("needle")), 1).otherwise(2)
+    detail = F.coalesce(F.nullif("package_name", F.lit("")), F.nullif("module_name", F.lit("")), F.col("source_set"))
+    return _top(found.withColumn("_rank", rank), ["_rank", "relative_path", "repository_id"]).select("query", "place", "repository_id", "relative_path", detail.alias("detail"))
+
+
+def list_endpoints(endpoints: DataFrame, search: str = "", most: int = ENDPOINTS) -> DataFrame:
+    """The first endpoints of each repository by controller, path and method."""
+    needle = search.strip().lower()
+    found = endpoints
+    if needle:
+        found = found.where(F.lower("path").like(f"%{needle}%") | F.lower("controller").like(f"%{needle}%"))
+    place = F.row_number().over(W.partitionBy("repository_id").orderBy("controller", "path", "http_method", "id"))
+    return found.withColumn("place", place.cast("long")).where(F.col("place") <= most)
+
+
+def lines_of(content: Column) -> Column:
+    """Lines of a text; an end of line at its end opens no further one."""
+    lines = F.split(content, LINE_END, -1)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+
+
+def source_excerpts(ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines ``start_line``..``end_line`` of files, or why there are none.
+
+    A text is split once for each range; ranges meet their file by path.
+    """
+    held = files.select("repository_id", "relative_path", lines_of(F.col("content")).alias("_lines"))
+    joined = ranges.join(held, ["repository_id", "relative_path"], "left")
+    start, end = F.col("start_line"), F.col("end_line")
+    status = (
+        F.when(F.col("_lines").isNull(), "NO_FILE").when((start < 1) | (end < start) | (end > F.size("_lines")), "BAD_RANGE")
+        .when(end - start + 1 > EXCERPT_LINES, "TOO_LONG").otherwise("OK")
+    )
+    out = joined.withColumn("status", status)
+    return out.withColumn("excerpt", F.when(F.col("status") == "OK", F.array_join(F.slice("_lines", F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0))), "\n"))).drop("_lines")
+
+
+def clamp_range(start: Column, end: Column, lines: int = 120) -> Column:
+    """The end of a symbol's excerpt in a viewer."""
+    return F.least(end, start + lines - 1)
+
+
+def stale_sources(files: DataFrame, index: DataFrame) -> DataFrame:
+    """Files whose content is not the indexed one any more."""
+    now = files.select("repository_id", "relative_path", F.sha2(F.col("content").cast("binary"), 256).alias("current_hash"))
+    return now.join(index.select("repository_id", "relative_path", "content_hash"), ["repository_id", "relative_path"]).where("current_hash <> content_hash")
+
+
+def list_repositories(repositories: DataFrame, files: DataFrame) -> DataFrame:
+    """Repositories with their number of files, newest first."""
+    n = files.groupBy("repository_id").agg(F.count("*").alias("files"))
+    return repositories.join(n, "repository_id", "left").fillna(0, ["files"]).orderBy(F.desc("created_at"), "repository_id")
