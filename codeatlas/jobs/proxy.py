@@ -101,6 +101,18 @@ FACTS: dict[str, str] = {
         from (select cast(substring(relative_path, position('F' in relative_path) + 1, 1) as int) doc, repository_id, relative_path, content from files where relative_path like '%.java' and relative_path not like 'build%') f
         where doc <> 9
     """,
+    "java_files": """
+        select cast(repository_id as string) repository_id, relative_path, k, simple_name, kind, role, case when k % 50 = 7 then 1 else 0 end broken,
+          'package app.r' || cast(repository_id as string) || ';' || chr(10)
+          || '// {' || chr(10) || case role when 'CONTROLLER' then '@RestController @RequestMapping({"/c' || cast(k as string) || '/", "v" + "2"}) ' when 'SERVICE' then '@Service ' when 'REPOSITORY' then '@org.x.Repository ' when 'ENTITY' then '@Entity(name = "}") ' else '@Component ' end
+          || 'public ' || case kind when 'INTERFACE' then 'interface ' when 'ENUM' then 'enum ' else 'abstract class ' end || simple_name || case when kind = 'CLASS' then ' extends Base<Integer, X>' else '' end || ' {' || chr(10)
+          || case kind when 'ENUM' then '  A, B(1) { void no() { } };' || chr(10) else '' end
+          || '  private static final Map<String, Dep' || cast(k % 5 as string) || '> dep = new HashMap<String, X>(), other[];' || chr(10)
+          || '  protected ' || simple_name || '(@Q Dep dep, int... n) { dep.start(); }' || chr(10)
+          || '  @GetMapping("/a") @Deprecated public List<String> find(@RequestBody final Body<A, B> b, int[] c) { return this.dep.load(b, c).map(x -> go(x, "(")); }' || chr(10)
+          || case when k % 50 = 7 then '' else '}' || chr(10) end content
+        from types
+    """,
     "endpoints": """
         select m.repository_id, m.id method_id, m.parent_id type_id, t.relative_path, m.start_line, case m.simple_name when 'find' then 'GET' else 'POST' end http_method,
           '/' || t.simple_name || '/' || m.simple_name path, t.simple_name controller, m.simple_name method_name, 'E' || m.id id
@@ -139,6 +151,7 @@ def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     order = needed([name])
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if any(re.search(rf"\b(?:from|join) {t}\b", FACTS[n]) for n in order)}
     text = "with " + ",\n".join(f"{n} as ({FACTS[n]})" for n in order) + f" select * from {name}"
+    text = text.replace("{", "{{").replace("}", "}}")  # braces name tables below
     for t in tables:
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text.replace('"column"', "`column`"), **tables)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import file_queries, graph_queries, resolve_queries
+from . import file_queries, graph_queries, resolve_queries, scan_queries
 
-MODULES = (file_queries, resolve_queries, graph_queries)
+MODULES = (file_queries, scan_queries, resolve_queries, graph_queries)
 
 
 def queries() -> dict:
