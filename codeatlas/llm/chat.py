@@ -55,7 +55,7 @@ def parse(formatted: Column) -> Column:
         lambda p: F.struct(
             F.substring_index(p, NEWLINE, 1).alias("role"),
             F.when(
-                p.endswith(close) & p.contains(NEWLINE) & (F.length(p) - F.length(F.replace(p, F.lit(END), F.lit(""))) == len(END)),
+                p.endswith(close) & ~F.substring_index(p, NEWLINE, 1).contains(END) & (F.length(p) - F.length(F.replace(p, F.lit(END), F.lit(""))) == len(END)),
                 p.substr(F.length(F.substring_index(p, NEWLINE, 1)) + 2, F.length(p) - F.length(F.substring_index(p, NEWLINE, 1)) - 1 - len(close)),
             ).alias("raw"),
         ),
