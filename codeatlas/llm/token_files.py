@@ -198,6 +198,12 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, end_id: int, id_
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
 
+def _one_each(files: DataFrame) -> DataFrame:
+    """``file, start`` dealt to about as many tasks as there are files; a stated
+    number keeps Spark from merging these few small rows into one task."""
+    return files.select("file", "start").repartition(max(1, files.count()), "file")
+
+
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """Every document out of the files: ``doc_id, start, ids``.
 
@@ -209,7 +215,7 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
             for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 yield from _batches(folder, file, start, None)
 
-    return files.select("file", "start").repartition("file").mapInArrow(docs_of, "doc_id long, start long, ids binary")
+    return _one_each(files).mapInArrow(docs_of, "doc_id long, start long, ids binary")
 
 
 def fetch_documents(folder: str, file: str, wanted: list[int]) -> dict[int, np.ndarray]:
@@ -254,4 +260,4 @@ def token_digest(spark: SparkSession, docs: DataFrame, vocab_name: str = "word_b
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return files.select("file", "start").repartition("file").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _one_each(files).mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
