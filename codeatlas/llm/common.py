@@ -2,52 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
+from ..functions.tables import materialize, shared_dir  # noqa: F401  (the operators take them from here)
+
 #: The word separators of the quality and similarity contracts.
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
 NON_SPACE_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and every executor can reach.
-
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
-    local session may go without; it then gets a temporary folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and go on from the written table.
-
-    Cuts the lineage and lets several later steps read one result; the files
-    outlive any executor.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def with_column_types(df: DataFrame, **types: str) -> DataFrame:
-    """Cast the named columns; absent ones are added as null."""
-    for name, kind in types.items():
-        col = F.col(f"`{name}`") if name in df.columns else F.lit(None)
-        df = df.withColumn(name, col.cast(kind))
-    return df
-
-
 def bucket_count(n_rows: int, rows_per_bucket: int = 100_000) -> int:
     """How many buckets keep the rows of one bucket near ``rows_per_bucket``."""
     return max(1, -(-n_rows // rows_per_bucket))
