@@ -11,6 +11,21 @@ from ..functions.tables import materialize, shared_dir  # noqa: F401  (the opera
 NON_SPACE_CLASS = r"[^\x20\x09-\x0D]+"
 
 
+_KEPT: dict[str, object] = {}
+
+
+def keep(name: str, make):
+    """What a Python worker remembers from task to task under this name.
+
+    A worker serves one operator after another; what it remembered for others
+    is let go, so memories don't add up.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def bucket_count(n_rows: int, rows_per_bucket: int = 100_000) -> int:
     """How many buckets keep the rows of one bucket near ``rows_per_bucket``."""
     return max(1, -(-n_rows // rows_per_bucket))

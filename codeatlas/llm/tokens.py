@@ -12,11 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import cache
 from struct import pack
 
+from .common import keep
+
 #: Chunks, and pieces, that a worker remembers; a full memory is emptied.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 #: Longer chunks are encoded each time they occur, so the memory stays small.
 CACHE_CHARS = 48
 #: The last character of the Latin blocks, where normalisation changes nothing.
@@ -104,10 +105,9 @@ class ChunkEncoder:
         return self._newline.join(lines)
 
 
-@cache
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder of this vocabulary file."""
-    return ChunkEncoder(path)
+    return keep(f"tokens of {path}", lambda: ChunkEncoder(path))
 
 
 def vocabulary(name: str) -> str:
