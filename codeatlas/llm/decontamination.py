@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import materialize
+from .common import keep, materialize
 
 #: Words of one segment; a longer document is a segment of its own.
 SEGMENT_WORDS = 1_000_000
@@ -96,6 +96,7 @@ def build_index(docs: DataFrame, vocabulary: Iterable[bytes] | None = None, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("nothing", dict)  # lets go what other operators remembered
         held = _Segment(known)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
