@@ -1,8 +1,8 @@
 """Personal data: patterns, and terms that give protected values away.
 
 Values found by pattern (e-mail, address, card and phone numbers) are the
-protected entities. Over all lines of the corpus it is counted how often a
-term stands in a line with an entity, and how often at all; what uncertainty
+protected entities. Over all documents of the corpus it is counted how many
+hold a term and an entity, and how many the term at all; what uncertainty
 about the entity is left to a reader who sees the term is then
 ``-log2 P(entity | term)`` bits. Terms that leave too little are generalised,
 those that leave less are removed, in the documents that hold the entity.
@@ -26,8 +26,9 @@ KINDS = ("email", "ip", "card", "phone")
 TERM_KIND = "term"
 
 WORD = r"\p{L}[\p{L}\p{N}]*+"
-#: A term must stand in so many different lines with an entity.
-MIN_LINES = 3
+#: So many more documents are taken to hold a term without the entity, so that
+#: P(entity | term) is the smaller the less was seen; one certain link leaves one bit.
+UNSEEN_DOCS = 1
 #: Bits of uncertainty about the entity below which a term is generalised, or removed.
 GENERALISE_BITS = 2.0
 REMOVE_BITS = 1.0
@@ -104,34 +105,33 @@ def _unmarked(text: Column) -> Column:
     return F.regexp_replace(text, "|".join((EMAIL, IP, CARD, PHONE)), " ")
 
 
-def _line_terms(line: Column) -> Column:
-    return F.array_distinct(_found(F.lower(line), WORD))
+def _terms(text: Column) -> Column:
+    """Distinct lower-cased words of a text, values left out."""
+    clean = F.when(text.rlike("[0-9@]"), _unmarked(text)).otherwise(text)
+    return F.array_distinct(_found(F.lower(clean), WORD))
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """``term, n_lines`` over all lines of all documents, copies included."""
-    clean = F.when(F.col("_text").rlike("[0-9@]"), _unmarked(F.col("_text"))).otherwise(F.col("_text"))
-    terms = F.flatten(F.transform(F.split(clean, "\n", -1), _line_terms))
-    return texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_lines"))
+    """``term, n_docs`` over all documents, copies included."""
+    return texts.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
-def disclosing_terms(found: DataFrame, min_lines: int = MIN_LINES, generalise_bits: float = GENERALISE_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
+def entity_terms(found: DataFrame) -> DataFrame:
+    """``_hash, entity, term, n_copies`` for each entity and term of each different text with values."""
+    held = found.where("_hash is not null").groupBy("_hash").agg(F.first("_text").alias("_text"), F.first("_spans").alias("_spans"), F.count("*").alias("n_copies"))
+    listed = held.select("_hash", "n_copies", F.array_distinct(F.transform("_spans", lambda s: s["value"])).alias("entities"), _terms(F.col("_text")).alias("terms"))
+    return listed.select("_hash", "n_copies", "terms", F.explode("entities").alias("entity")).select("_hash", "entity", "n_copies", F.explode("terms").alias("term"))
+
+
+def disclosing_terms(pairs: DataFrame, counts: DataFrame, generalise_bits: float = GENERALISE_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
     """``entity, term, bits, action`` for terms above the disclosure threshold.
 
-    ``found`` is a written table of ``find_values``, with ``_text`` null where
-    there is no value, and ``_whole`` with every text. A term counts once in a
-    line; it needs ``min_lines`` different lines with the entity, so copies of
-    one line say nothing new.
+    ``pairs`` are the ``entity_terms``, ``counts`` the ``term_counts`` of the
+    corpus. A term counts once in a document, and copies count like any other
+    document. Every pair is measured, however rare the entity or the term.
     """
-    held = found.where(F.size("_spans") > 0)
-    per_entity = held.select("_text", F.explode(F.array_distinct(F.transform("_spans", lambda s: s["value"]))).alias("entity"))
-    lines = per_entity.select("entity", F.explode(F.filter(F.split("_text", "\n", -1), lambda line: line.contains(F.col("entity")))).alias("line"))
-    copies = lines.groupBy("entity", "line").agg(F.count("*").alias("n"))
-    pairs = copies.select("entity", "n", F.explode(_line_terms(_unmarked(F.col("line")))).alias("term"))
-    together = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("lines")).where(F.col("lines") >= min_lines)
-    together = materialize(together, "entity-terms")
-    counts = term_counts(found.select(F.col("_whole").alias("_text")))
-    bits = F.greatest(-F.log2(F.col("n_both") / F.col("n_lines")), F.lit(0.0))
+    together = pairs.groupBy("term", "entity").agg(F.sum("n_copies").alias("n_both"))
+    bits = -F.log2(F.col("n_both") / (F.col("n_docs") + UNSEEN_DOCS))
     return (
         counts.join(together, "term").select("entity", "term", bits.alias("bits"))
         .where(F.col("bits") <= generalise_bits)
@@ -151,14 +151,14 @@ def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text"
     whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     based = find_values(docs.select(row, whole.alias("_text")))
     hit = F.size("_spans") > 0
-    kept = based.select("_row", F.col("_text").alias("_whole"), F.when(hit, F.col("_text")).alias("_text"), "_spans", F.when(hit, F.sha2(F.col("_text").cast("binary"), 256)).alias("_hash"))
+    kept = based.select("_row", F.col("_text").alias("_whole"), F.when(hit, F.col("_text")).alias("_text"), "_spans", F.when(hit, F.unhex(F.sha2(F.col("_text").cast("binary"), 256))).alias("_hash"))
     found = materialize(kept, "values")
-    flagged = materialize(disclosing_terms(found), "disclosing-terms")
-    by_entity = flagged.groupBy("entity").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
+    pairs = entity_terms(found)
+    flagged = materialize(disclosing_terms(pairs, term_counts(found.select(F.col("_whole").alias("_text")))), "disclosing-terms")
     held = found.where("_hash is not null")
-    entities = held.select("_hash", F.explode(F.array_distinct(F.transform("_spans", lambda s: s["value"]))).alias("entity")).distinct()
+    # only terms of the text itself, so that those of a frequent entity don't add up;
     # a term may disclose several entities of a text: the stricter action holds ("remove" sorts last)
-    listed = entities.join(by_entity, "entity").select("_hash", F.explode("terms").alias("t")).groupBy("_hash", "t.term").agg(F.max("t.action").alias("action"))
+    listed = pairs.join(flagged, ["term", "entity"]).groupBy("_hash", "term").agg(F.max("action").alias("action"))
     terms = listed.groupBy("_hash").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "action")))).alias("_terms"))
     joined = held.join(terms, "_hash", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))

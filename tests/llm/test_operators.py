@@ -430,6 +430,19 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(odd).columns == odd.columns
 
 
+def test_rare_entities_are_disclosed(spark):
+    # seen once, seen twice with the term in another line than the address, and four copies of one text
+    rows = ["the note of quillon to once@mail.org"] + [f"{w} brimble is here\nthe note went to twice@mail.org" for w in ("first", "second")] + ["the note of copperby to copies@mail.org"] * 4 + ["the note is here to stay of first and second"] * 60
+    found = {r["_row"]["doc_id"]: r for r in pii.find_disclosures(docs(spark, *rows), ["doc_id"]).collect()}
+    terms = [[(s["value"], s["action"]) for s in found[i]["spans"] if s["kind"] == len(pii.KINDS)] for i in range(len(rows))]
+    assert terms[0] == [("quillon", "remove")]
+    assert terms[1][0] == ("brimble", "remove") == terms[2][0]
+    assert all(terms[i] == [("copperby", "remove")] for i in range(3, 7))
+    assert not any(terms[7:])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, *rows)).collect()}
+    assert clean[0] == "the note of  to [EMAIL]"
+
+
 # ---- toxicity
 
 
