@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 #: Letters of labelled text in one automaton; the bound of the fitted sample.
 SAMPLE_LETTERS = 24_000
-#: At most this many labelled documents of a language, of at most so many characters.
+#: At most this many labelled documents of a language, and a window of so many characters of each.
 SAMPLE_DOCS = 96
 SAMPLE_DOC_CHARS = 6_000
 #: Distinct letters told apart; rarer ones share a code.
@@ -181,12 +181,12 @@ def _groups(which: list[int], coded: list[np.ndarray]) -> Iterator[list[int]]:
 def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """A bounded sample of labelled texts of each language.
 
-    Of the allowed rows with a label and a text that is not too long, those
-    with the smallest hashes of their text. Ids and lengths are ranked first;
-    only the chosen texts are read. Lists grow with the number of languages,
-    not with the corpus.
+    Of the allowed rows with a label and a letter, those with the smallest
+    hashes of their text, however long it is; of a long one a window of its
+    letters, placed by the hash. Hashes are ranked first; only the chosen texts
+    are read. Lists grow with the number of languages, not with the corpus.
     """
-    rows = docs.where(allowed & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_DOC_CHARS)))
+    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keyed = rows.select("lang", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).distinct()
     # first inside shares of a language, so that a frequent one is ranked by many tasks
     shares = keyed.withColumn("s", F.pmod("h", F.lit(97))).withColumn("r", F.row_number().over(W.partitionBy("lang", "s").orderBy("h", "c"))).where(F.col("r") <= per_language)
@@ -194,7 +194,10 @@ def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = SAMPLE
     chosen = {(r["lang"], r["h"], r["c"]) for r in ranked.select("lang", "h", "c").collect()}
     if not chosen:
         return {}
-    got = rows.where(F.xxhash64("text").isin(sorted({h for _, h, _ in chosen}))).select("lang", "text", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).dropDuplicates(["lang", "h", "c"]).collect()
+    letters = F.regexp_replace("text", r"[^\p{L}]+", " ")
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length(letters) - SAMPLE_DOC_CHARS, F.lit(0)) + 1)
+    window = F.substring(letters, (start + 1).cast("int"), F.lit(SAMPLE_DOC_CHARS)).alias("text")
+    got = rows.where(F.xxhash64("text").isin(sorted({h for _, h, _ in chosen}))).select("lang", window, F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).dropDuplicates(["lang", "h", "c"]).collect()
     out: dict[str, list[tuple[int, str]]] = {}
     for r in got:
         if (r["lang"], r["h"], r["c"]) in chosen:

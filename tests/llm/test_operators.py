@@ -140,6 +140,18 @@ def test_language(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in odd)
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    # every text of one language is long, and begins with what is no letter
+    words = {"long": ["tulip", "ember", "crane"], "short": ["gravo", "simul", "honti"]}
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(words["short"]) for _ in range(50)), "short", "s", 1) for i in range(10)]
+    rows += [(i, "7 " * 9000 + " ".join(rng.choice(words["long"]) for _ in range(4000)), "long", "s", 1) for i in range(10, 14)]
+    sample = L.labelled_sample(spark.createDataFrame(rows, DOCS), F.lit(True))
+    assert set(sample) == {"long", "short"}
+    assert all("tulip" in t and len(t) <= L.SAMPLE_DOC_CHARS for t in sample["long"])
+    assert L.CrossParser.fit(sample).predict(["crane tulip ember", "honti gravo"])[0] == ["long", "short"]
+
+
 # ---- decontamination
 
 
