@@ -22,7 +22,8 @@ SAMPLE_LETTERS = 24_000
 #: At most this many labelled documents of a language, and a window of so many characters of each.
 SAMPLE_DOCS = 96
 SAMPLE_DOC_CHARS = 6_000
-#: Distinct letters told apart; rarer ones share a code.
+#: Columns of the table of moves: the most frequent letters and one for letters no
+#: sample shows. Every other letter has its moves in a sorted list.
 ALPHABET = 96
 UNKNOWN = "und"
 #: Letters that walk at once; bounds the memory of a batch.
@@ -52,67 +53,91 @@ def _letter_table() -> np.ndarray:
     return _TABLES["letters"]
 
 
-def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (state by code, 0: none) of the automaton of all substrings; the start is state 1."""
-    nxt = np.zeros((2 * len(codes) + 2, width), dtype=np.int32)
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Moves (code to state) of every state of the automaton of all substrings; the start is state 1."""
+    nxt: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
-    last, size = 1, 2
+    last = 1
     for c in codes.tolist():
-        cur, size = size, size + 1
+        cur = len(nxt)
+        nxt.append({})
         length.append(length[last] + 1)
         link.append(1)
         p = last
-        while p and not nxt[p, c]:
-            nxt[p, c] = cur
+        while p and c not in nxt[p]:
+            nxt[p][c] = cur
             p = link[p]
         if p:
-            q = int(nxt[p, c])
+            q = nxt[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone, size = size, size + 1
-                nxt[clone] = nxt[q]
+                clone = len(nxt)
+                nxt.append(dict(nxt[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p and nxt[p, c] == q:
-                    nxt[p, c] = clone
+                while p and nxt[p].get(c) == q:
+                    nxt[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return nxt[:size]
+    return nxt
 
 
 @dataclass
 class CrossParser:
-    """Automata of all languages in one table of moves.
+    """Automata of all languages in one table of moves, and a list for rarer letters.
 
     A move that the automaton lacks starts a new phrase at the letter: it
     leads where the start leads with that letter, and carries a flag that is
-    added up. A letter the language never shows is a phrase by itself.
+    added up. A letter the language never shows is a phrase by itself. Every
+    letter of a sample has its own code; those from ``width`` on are looked up
+    in the list, which grows with the samples and not with the letters.
     """
 
     languages: list[str]
-    letters: np.ndarray  # code points told apart, sorted
+    letters: np.ndarray  # code points told apart, those of the table first
     moves: np.ndarray  # flattened state by code
     starts: np.ndarray  # start state of each language
     width: int
+    listed: np.ndarray  # state and code of the moves by rarer letters, as sorted numbers
+    targets: np.ndarray  # where they lead
+    restarts: np.ndarray  # language by rarer letter: where a new phrase begins
 
     @classmethod
     def fit(cls, samples: dict[str, list[str]], sample_letters: int = SAMPLE_LETTERS) -> CrossParser:
         texts = {k: np.concatenate([np.zeros(0, "<u4"), *[np.append(letters_of(t), 32) for t in v]])[:sample_letters] for k, v in sorted(samples.items())}
         known, n = np.unique(np.concatenate([np.zeros(0, "<u4"), *texts.values()]), return_counts=True)
-        letters = np.sort(known[np.argsort(-n, kind="stable")][: ALPHABET - 1])
-        width = len(letters) + 1
-        tables, starts, base = [], [], 0
-        for text in texts.values():
-            table = suffix_automaton(_codes(text, letters), width)
+        ranked = known[np.argsort(-n, kind="stable")]
+        letters = np.concatenate([np.sort(ranked[: ALPHABET - 1]), np.sort(ranked[ALPHABET - 1 :])])
+        width = min(len(letters), ALPHABET - 1) + 1
+        span = len(letters) + 1
+        tables, starts, rare, base = [], [], [np.zeros((0, 2), np.int64)], 0
+        restarts = np.zeros((len(texts), span - width), dtype=np.int32)
+        for k, text in enumerate(texts.values()):
+            moves = suffix_automaton(_codes(text, letters, width))
+            flat = np.array([(state, c, to) for state, row in enumerate(moves) for c, to in row.items()], dtype=np.int64).reshape(-1, 3)
+            state, code, to = flat[flat[:, 1] < width].T
+            table = np.zeros((len(moves), width), dtype=np.int32)
+            table[state, code] = to
             first = table[1]
-            filled = np.where(table > 0, table, np.where(first > 0, first, 1) | _RESTART)
-            tables.append(filled + base)
+            tables.append(np.where(table > 0, table, np.where(first > 0, first, 1) | _RESTART) + base)
+            state, code, to = flat[flat[:, 1] >= width].T
+            rare.append(np.stack([(state + base) * span + code, to + base], axis=1))
+            restarts[k] = (1 + base) | _RESTART
+            restarts[k, code[state == 1] - width] = (to[state == 1] + base) | _RESTART
             starts.append(1 + base)
             base += len(table)
         moves = np.concatenate(tables) if tables else np.zeros((1, width), np.int32)
-        return cls(list(texts), letters, np.ascontiguousarray(moves.ravel(), dtype=np.int32), np.array(starts, dtype=np.int32), width)
+        pairs = np.concatenate(rare)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        return cls(list(texts), letters, np.ascontiguousarray(moves.ravel(), dtype=np.int32), np.array(starts, dtype=np.int32), width, pairs[:, 0].copy(), pairs[:, 1].astype(np.int32), restarts)
+
+    def _by_list(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Moves by letters that the table has no column for."""
+        key = state.astype(np.int64) * (len(self.letters) + 1) + code
+        at = np.minimum(np.searchsorted(self.listed, key), len(self.listed) - 1)
+        return np.where(self.listed[at] == key, self.targets[at], self.restarts[:, code - self.width])
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of each text (rows) in each language (columns)."""
@@ -122,14 +147,20 @@ class CrossParser:
         counts = np.zeros((langs, len(texts)), dtype=np.int64)
         if not len(texts) or not langs or not sizes[0]:
             return np.zeros((len(texts), langs), dtype=np.int64)
-        flat = _codes(np.concatenate([texts[i] for i in order]), self.letters).astype(np.int32)
+        flat = _codes(np.concatenate([texts[i] for i in order]), self.letters, self.width)
         at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         state = np.repeat(self.starts[:, None], len(texts), axis=1)
         alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
         width = np.int32(self.width)
+        any_rare = bool((flat >= width).any())
         for step in range(int(sizes[0])):
             n = int(alive[step])
-            move = self.moves[state[:, :n] * width + flat[at[:n] + step]]
+            code = flat[at[:n] + step]
+            if any_rare and len(rare := np.flatnonzero(code >= width)):
+                move = self.moves[state[:, :n] * width + np.minimum(code, width - 1)]
+                move[:, rare] = self._by_list(state[:, rare], code[rare])
+            else:
+                move = self.moves[state[:, :n] * width + code]
             counts[:, :n] += move >> 30
             state[:, :n] = move & _STATE
         out = np.empty((len(texts), langs), dtype=np.int64)
@@ -156,12 +187,13 @@ class CrossParser:
         return names, scores
 
 
-def _codes(points: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Places of code points among the known letters; the last code is any other."""
+def _codes(points: np.ndarray, letters: np.ndarray, width: int) -> np.ndarray:
+    """Codes of code points: places among the known letters, past ``width - 1``, which is any other."""
     key = "codes" + letters.tobytes().hex()
     if key not in _TABLES:
-        table = np.full(_CODE_SPACE, len(letters), dtype=np.uint8)
-        table[letters] = np.arange(len(letters))
+        table = np.full(_CODE_SPACE, width - 1, dtype=np.int32)
+        places = np.arange(len(letters))
+        table[letters] = places + (places >= width - 1)
         _TABLES[key] = table
     return _TABLES[key][points]
 

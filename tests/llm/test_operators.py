@@ -130,6 +130,33 @@ def test_cross_parsing_counts():
         assert abs(int(got[1]) - greedy(text, "zzxy ")) <= 1
 
 
+def test_letters_of_large_scripts_are_told_apart():
+    # two scripts of hundreds of letters each beside a frequent Latin text
+    rng = random.Random(9)
+    scripts = {"han": range(0x4E00, 0x4E00 + 600), "hangul": range(0xAC00, 0xAC00 + 600)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(2)) for _ in range(400)] for k, v in scripts.items()}
+    words["latin"] = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(400)]
+    make = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    samples = {k: [make(k, 2000)] for k in words}
+    parser = L.CrossParser.fit(samples)
+    tests = [(k, make(k, 30)) for k in words for _ in range(20)] + [("latin", make("latin", 30) + chr(0x4E00) + chr(0x1200))]
+    assert parser.predict([t for _, t in tests])[0] == [k for k, _ in tests]
+    # the same phrases as a greedy search in the sample gives
+    grown = [np.append(L.letters_of(samples[k][0]), 32)[: L.SAMPLE_LETTERS] for k in sorted(words)]
+    for _, text in tests[::7]:
+        coded = L.letters_of(text)
+        for sample, got in zip(grown, parser.phrases([coded])[0], strict=True):
+            sample, part, n, at = "".join(map(chr, sample)), "".join(map(chr, coded)), 0, 0
+            if not set(part) <= set(sample):
+                continue
+            while at < len(part):
+                size = 1
+                while at + size < len(part) and part[at : at + size + 1] in sample:
+                    size += 1
+                n, at = n + 1, at + size
+            assert abs(int(got) - n) <= 1
+
+
 def test_language(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = L.language_report(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out")
