@@ -25,15 +25,16 @@ JOINERS = "._-*~^'’`,;:/\\#%&=​‌‍­"
 #: Costs in nats of writing a letter as a sign, of a sign put between letters, of a repeated
 #: letter, of a word end where a separator is read, and of a separator that means nothing.
 SIGN_COST, NOISE_COST, REPEAT_COST, BREAK_COST, JOIN_COST = 1.0, 1.5, 0.5, 2.0, 0.2
-#: Longer tokens are addresses, keys and the like and are left alone.
+#: Longer tokens with signs are read in pieces of so many characters.
 MAX_PLACES = 40
 
 #: Letter codes: 0 is the edge of a word, a-z, then à-ÿ, then any other letter.
 CODES = 60
 _EDGE_MARKS = ".,;:!?\"'()[]{}…«»“”„‘’*#%&$~^_-=+<>|/\\"
-_TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _SIGN_RUN = re.compile(r"([^\w\s])\1\1+")
+_URL = re.compile(r"(?:https?|ftp)://\S+")
+_JOINED = re.compile(f"[{re.escape(JOINERS)}]+")
 _SINGLE = r"[^\W_]|[@$!|+(<€£¡]"
 _SPACED = re.compile(rf"(?<!\S)(?:(?:{_SINGLE})[ .\-_*]{{1,3}}){{2,}}(?:{_SINGLE})(?![^\s.,;:!?])")
 
@@ -149,6 +150,12 @@ def lattice(token: str, spaced: bool = False) -> list[Place]:
     return places
 
 
+def token_lattice(token: str) -> list[Place]:
+    """The lattice of a token; where there is no letter, no sign means nothing."""
+    places = lattice(token)
+    return places if any(map(str.isalpha, token)) else [[r for r in place if r[0].strip()] or place for place in places]
+
+
 def decode(places: list[Place], model: LetterModel) -> str:
     """The cheapest reading of a lattice (Viterbi over the last two letters)."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
@@ -179,12 +186,23 @@ def _bare(token: str) -> str:
 
 
 def is_disguised(token: str) -> bool:
-    """Signs among letters, or letters repeated as no word has them."""
+    """Signs among letters or alone, or a letter repeated; numbers and whole URLs are not."""
     if token.isalpha():
-        return bool(_TRIPLE.search(token)) or len(_DOUBLE.findall(token)) >= 2
+        return bool(_DOUBLE.search(token))
     letters = sum(c.isalpha() for c in token)
     signs = sum(c in LEET for c in token)
-    return len(token) <= MAX_PLACES and letters >= 1 and letters + signs >= 3 and "://" not in token and not ("@" in token and "." in token)
+    worded = letters >= 1 or any(c in LEET and not c.isdigit() for c in token)
+    return worded and letters + signs >= 3 and not _URL.fullmatch(token)
+
+
+def pieces(token: str) -> list[str]:
+    """A token in lattices of bounded size: what stands between joiners, and overlapping parts of the whole."""
+    if token.isalpha() or len(token) <= MAX_PLACES:
+        return [token]
+    half = MAX_PLACES // 2
+    windows = lambda t: [t[i : i + MAX_PLACES] for i in range(0, max(len(t) - half, 1), half)]
+    parts = [w for part in _JOINED.split(token) if part for w in windows(part)]
+    return [w for w in dict.fromkeys([*parts, *windows(token)]) if is_disguised(w)]
 
 
 class Restorer:
@@ -200,7 +218,7 @@ class Restorer:
         out = [w for w in re.split(r"[^\w]+|_", bare) if w] if not bare.isalpha() else [bare]
         for shape in {bare, _SIGN_RUN.sub("", edge_signs).strip(".,;:?\"'")}:
             if shape and is_disguised(shape):
-                out += [w for w in decode(lattice(shape), self.model).split(" ") if w]
+                out += [w for piece in pieces(shape) for w in decode(token_lattice(piece), self.model).split(" ") if w]
         return out
 
     def spaced_words(self, text: str) -> list[str]:
@@ -219,7 +237,11 @@ class Restorer:
         """The text with every disguised word restored, lower-cased."""
         low = prepared(text)
         low = _SPACED.sub(lambda m: decode(lattice(m.group(), spaced=True), self.model), low)
-        return re.sub(r"\S+", lambda m: decode(lattice(_bare(m.group())), self.model) if is_disguised(_bare(m.group())) else m.group(), low)
+        return re.sub(r"\S+", lambda m: self._whole(_bare(m.group())) if is_disguised(_bare(m.group())) else m.group(), low)
+
+    def _whole(self, token: str) -> str:
+        size = len(token) if token.isalpha() else MAX_PLACES
+        return "".join(decode(token_lattice(token[i : i + size]), self.model) for i in range(0, len(token), size))
 
 
 def prepared(text: str) -> str:

@@ -506,6 +506,17 @@ def test_toxicity_restores_words(spark):
     assert all(0 <= got[i] < 0.5 for i in range(4, 8)), got
 
 
+def test_every_kind_of_disguise_is_read():
+    from codeatlas.llm import deobfuscation as B
+
+    plain = ["stupid", "idiot", "bastard", "ass", "grumbo", "water", "letter", "garden", "morning"]
+    restorer = B.Restorer(B.LetterModel(B.trigram_counts(iter([" ".join(plain)] * 200))))
+    for token, word in [("stuupid", "stupid"), ("iidiot", "idiot"), ("b@stard.x", "bastard"), ("@$$", "ass"), ("-".join(["water"] * 9 + ["stup1d"]), "stupid"), ("/".join(["garden"] * 8 + ["b@stard"]), "bastard"), ("_".join(["s.t.u.p.1.d"] * 5), "stupid")]:
+        assert any(word in w for w in restorer.words(token)), (token, restorer.words(token))
+    assert B.is_disguised("b@st.rd") and not B.is_disguised("https://a.org/b00k") and not B.is_disguised("12345")
+    assert "letter" in restorer.words("letter") and restorer.words("water") == ["water"]
+
+
 # ---- pipeline
 
 
