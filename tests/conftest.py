@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from codeatlas.functions.ship import ship
+    from sourcefacts.functions.ship import ship
 
     ship(session)
     return session

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from codeatlas.jobs import registry
+from sourcefacts.jobs import registry
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from codeatlas.operators import walk as X
+from sourcefacts.operators import walk as X
 
 
 def by_queue(root, out, leaves, depth, node_limit, edge_limit):
