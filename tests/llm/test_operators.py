@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeatlas.llm import chat, decontamination as D, jaccard_join as J, language_id as L, packing as P, pii, quality as Q, sharding as S, token_files as T
-from codeatlas.llm.components import connected_components
-from codeatlas.llm.tokens import encoder, vocabulary
+from sourcefacts.llm import chat, decontamination as D, jaccard_join as J, language_id as L, packing as P, pii, quality as Q, sharding as S, token_files as T
+from sourcefacts.llm.components import connected_components
+from sourcefacts.llm.tokens import encoder, vocabulary
 
 LONG = " ".join(f"word{i % 700}" for i in range(20_000))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,7 +30,7 @@ def test_empty_tables(spark):
     none = docs(spark)
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    from codeatlas.llm import toxicity
+    from sourcefacts.llm import toxicity
 
     for out in (S.assign_shards(none, 24), Q.quality_report(none), D.contamination_report(none, bench), P.pack_documents(none), J.similarity_report(none), T.token_digest(spark, none), pii.pii_digest(none), L.language_report(none), toxicity.toxicity_report(none, labels), J.keep_representatives(none), Q.keep_good(none), D.drop_contaminated(none, bench), pii.sanitise(none)):
         assert out.count() == 0
@@ -486,7 +486,7 @@ def test_rare_entities_are_disclosed(spark):
 
 
 def test_toxicity_restores_words(spark):
-    from codeatlas.llm import deobfuscation as B, toxicity as X
+    from sourcefacts.llm import deobfuscation as B, toxicity as X
 
     rng = random.Random(7)
     plain = ["water", "table", "garden", "morning", "letter", "window", "summer", "bridge"]
@@ -507,7 +507,7 @@ def test_toxicity_restores_words(spark):
 
 
 def test_every_kind_of_disguise_is_read():
-    from codeatlas.llm import deobfuscation as B
+    from sourcefacts.llm import deobfuscation as B
 
     plain = ["stupid", "idiot", "bastard", "ass", "grumbo", "water", "letter", "garden", "morning"]
     restorer = B.Restorer(B.LetterModel(B.trigram_counts(iter([" ".join(plain)] * 200))))
@@ -548,7 +548,7 @@ def test_pipeline(spark, sf_dir):
 def test_oracles(spark, sf_dir):
     import duckdb
 
-    from codeatlas.llm import queries
+    from sourcefacts.llm import queries
 
     c = duckdb.connect()
     for name in ("documents", "benchmark", "conversations"):
