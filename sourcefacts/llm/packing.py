@@ -135,11 +135,11 @@ def cut_pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int = CAPACIT
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = encoder(vocab).encode, struct.pack("<I", end_id), 4 * capacity
+        encode_all, end, step = encoder(vocab).encode_all, struct.pack("<I", end_id), 4 * capacity
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text")), strict=True):
+                ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     for col, v in zip(cols, (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if keep_ids else None), strict=True):

@@ -144,7 +144,7 @@ def _files_of(batches: Iterator[pa.RecordBatch], folder: str, vocab: str, end_id
 
     part = TaskContext.get().partitionId()
     store, root = _open(folder)
-    encode, end = encoder(vocab).encode, struct.pack("<I", end_id)
+    encode_all, end = encoder(vocab).encode_all, struct.pack("<I", end_id)
     made: list[tuple[str, int, int, int]] = []
     writer = out = name = None
 
@@ -156,12 +156,12 @@ def _files_of(batches: Iterator[pa.RecordBatch], folder: str, vocab: str, end_id
         made.append((final, part, writer.docs, writer.tokens))
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text")), strict=True):
             if writer is None:
                 name = f"_writing-{uuid.uuid4().hex}"
                 out = store.open_output_stream(f"{root}/{name}")
                 writer = FrameWriter(out)
-            writer.add(doc_id, encode(text or "") + end)
+            writer.add(doc_id, ids + end)
             if writer.written >= FILE_BYTES:
                 close()
                 writer = None
