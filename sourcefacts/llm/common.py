@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.tables import materialize, shared_dir  # noqa: F401  (the operators take them from here)
@@ -53,6 +53,28 @@ def gapless_ranks(units: DataFrame, groups: list[str], order: list[str], weight:
     return ranked.join(bases, keys).withColumn(name, F.col("_base") + F.col("_inside")).drop("_bucket", "_base", "_inside")
 
 
+def running_totals(numbers: Column, block: int = 512) -> Column:
+    """The sums of an array's first elements, one for each element.
+
+    Taken in blocks, whose totals are added up in turn, so that the cost of an
+    array of a million numbers stays near its length.
+    """
+    none = F.array().cast("array<int>")
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.size(numbers), F.lit(1)) - 1) / block).cast("int")),
+        lambda k: F.aggregate(F.slice(numbers, k * block + 1, F.lit(block)), none, add),
+    )
+    # what stands before each block: the totals of the blocks up to it, less its own
+    return F.flatten(F.aggregate(
+        blocks, F.struct(F.lit(0).alias("before"), F.array().cast("array<array<int>>").alias("out")),
+        lambda acc, b: F.struct(
+            (acc["before"] + F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0))).alias("before"),
+            F.concat(acc["out"], F.array(F.transform(b, lambda x: x + acc["before"]))).alias("out"),
+        ),
+    )["out"])
+
+
 def text_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and text columns, as long and string."""
     return df.select(F.col(id_col).cast(T.LongType()).alias("doc_id"), F.col(text_col).cast(T.StringType()).alias("text"))

@@ -1,19 +1,18 @@
 """Personal data: patterns, and terms that give protected values away.
 
 Values found by pattern (e-mail, address, card and phone numbers) are the
-protected entities. Over all documents of the corpus it is counted how many
-hold a term and an entity, and how many the term at all; what uncertainty
-about the entity is left to a reader who sees the term is then
+protected entities. Over all documents of the corpus it is counted in how many
+a term stands near an entity, and how many hold the term at all; what
+uncertainty about the entity is left to a reader who sees the term is then
 ``-log2 P(entity | term)`` bits. Terms that leave too little are generalised,
-those that leave less are removed, in the documents that hold the entity.
-Only DataFrame functions are used.
+those that leave less are removed. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, running_totals
 
 #: The patterns of the contract. Quantifiers that can never give
 #: back are possessive, and a match may begin only where a run begins or the
@@ -23,9 +22,12 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
 TERM_KIND = "term"
 
-WORD = r"\p{L}[\p{L}\p{N}]*+"
+WORD = r"\p{N}*+\p{L}[\p{L}\p{N}]*+"
+#: Code points on either side of a value whose words are taken to stand near it.
+CONTEXT = 160
 #: So many more documents are taken to hold a term without the entity, so that
 #: P(entity | term) is the smaller the less was seen; one certain link leaves one bit.
 UNSEEN_DOCS = 1
@@ -43,13 +45,10 @@ def _found(text: Column, pattern: Column | str) -> Column:
 def located(text: Column, pattern: Column | str, values: Column, kind: int, action: Column | str = "") -> Column:
     """Spans in code points of all matches, from the text between them."""
     gaps = F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), values.alias("value")), F.array().cast("array<int>"),
-        lambda acc, z: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(z["gap"]) + F.coalesce(F.length(z["value"]), F.lit(0)))),
-    )
+    advances = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda gap, v: F.length(gap) + F.length(v))
     label = F.lit(action) if isinstance(action, str) else action
     spans = F.zip_with(
-        values, F.slice(ends, 1, F.size(values)),
+        values, running_totals(advances),
         lambda v, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(v)).alias("start"), e.alias("end"), v.alias("value"), label.alias("action")),
     )
     return F.when(F.size(values) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
@@ -84,92 +83,148 @@ def _holding(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["value"]))
 
 
+def _matches(docs: DataFrame) -> DataFrame:
+    """Adds ``_m_<kind>``: all matches of each pattern in ``_text``."""
+    text = F.col("_text")
+    needs = {"email": text.contains("@"), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
+    none = F.array().cast("array<string>")
+    return docs.select("*", *[F.when(needs[k], _found(text, PATTERNS[k])).otherwise(none).alias(f"_m_{k}") for k in KINDS])
+
+
+def _any_match() -> Column:
+    return F.size("_m_email") + F.size("_m_ip") + F.size("_m_card") + F.size("_m_phone") > 0
+
+
 def find_values(docs: DataFrame) -> DataFrame:
     """Adds ``_spans``: the pattern matches of ``_text`` that hold, by kind and start.
 
     ``_text`` must not be null. Matches of one kind don't overlap; one that
     fails its test is dropped and nothing else is tried in its place.
     """
-    text = F.col("_text")
-    patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
-    needs = {"email": text.contains("@"), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
-    none = F.array().cast("array<string>")
-    out = docs.select("*", *[F.when(needs[k], _found(text, patterns[k])).otherwise(none).alias(f"_m_{k}") for k in KINDS])
-    parts = [_holding(located(text, patterns[k], F.col(f"_m_{k}"), i), k) for i, k in enumerate(KINDS)]
-    spans = F.when(F.size("_m_email") + F.size("_m_ip") + F.size("_m_card") + F.size("_m_phone") > 0, F.concat(*parts)).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return out.select("*", spans.alias("_spans")).drop(*[f"_m_{k}" for k in KINDS])
+    parts = [_holding(located(F.col("_text"), PATTERNS[k], F.col(f"_m_{k}"), i), k) for i, k in enumerate(KINDS)]
+    spans = F.when(_any_match(), F.concat(*parts)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return _matches(docs).select("*", spans.alias("_spans")).drop(*[f"_m_{k}" for k in KINDS])
 
 
-def _unmarked(text: Column) -> Column:
-    """The text with everything that looks like a value blanked out."""
-    return F.regexp_replace(text, "|".join((EMAIL, IP, CARD, PHONE)), " ")
+def _identity(kind: str, value: Column) -> Column:
+    """Values that are one entity: an e-mail in any case, a number however it is spaced."""
+    return F.lower(value) if kind in ("email", "ip") else F.concat(F.lit(f"{kind} "), _digits(value))
 
 
-def _terms(text: Column) -> Column:
-    """Distinct lower-cased words of a text, values left out."""
-    clean = F.when(text.rlike("[0-9@]"), _unmarked(text)).otherwise(text)
-    return F.array_distinct(_found(F.lower(clean), WORD))
+def _words(text: Column) -> Column:
+    """Lower-cased words of a text, what looks like a value left out."""
+    blank = F.regexp_replace(text, "|".join(PATTERNS.values()), " ")
+    return _found(F.lower(F.when(text.rlike("[0-9@]"), blank).otherwise(text)), WORD)
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """``term, n_docs`` over all documents, copies included."""
-    return texts.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
+def _near(before: Column, after: Column) -> Column:
+    """Distinct whole words of the last and first ``CONTEXT`` code points of two texts."""
+    left = F.when(F.length(before) > CONTEXT, F.regexp_replace(F.right(before, F.lit(CONTEXT)), r"^[\p{L}\p{N}]+", "")).otherwise(before)
+    right = F.when(F.length(after) > CONTEXT, F.regexp_replace(F.left(after, F.lit(CONTEXT)), r"[\p{L}\p{N}]+$", "")).otherwise(after)
+    return F.array_distinct(_words(F.concat(left, F.lit(" "), right)))
 
 
-def entity_terms(found: DataFrame) -> DataFrame:
-    """``_hash, entity, term, n_copies`` for each entity and term of each different text with values."""
-    held = found.where("_hash is not null").groupBy("_hash").agg(F.first("_text").alias("_text"), F.first("_spans").alias("_spans"), F.count("*").alias("n_copies"))
-    listed = held.select("_hash", "n_copies", F.array_distinct(F.transform("_spans", lambda s: s["value"])).alias("entities"), _terms(F.col("_text")).alias("terms"))
-    return listed.select("_hash", "n_copies", "terms", F.explode("entities").alias("entity")).select("_hash", "entity", "n_copies", F.explode("terms").alias("term"))
+def entity_terms(docs: DataFrame) -> DataFrame:
+    """``entity, term, n_both``: documents of ``_text`` in which the term stands near the entity.
+
+    Near is: in the text between the value and the matches of its kind beside
+    it, at most ``CONTEXT`` code points away. So a value has a bounded number
+    of terms, however long the text.
+    """
+    text = F.col("_text")
+
+    def of_kind(kind: str) -> Column:
+        gaps = F.split(text, PATTERNS[kind], -1)
+        sides = F.arrays_zip(F.slice(gaps, 1, F.size(gaps) - 1).alias("before"), F.slice(gaps, 2, F.size(gaps) - 1).alias("after"), F.col(f"_m_{kind}").alias("value"))
+        return F.transform(
+            F.filter(sides, lambda z: _valid(kind, z["value"])),
+            lambda z: F.transform(_near(z["before"], z["after"]), lambda term: F.concat(_identity(kind, z["value"]), F.lit("\n"), term)),
+        )
+
+    # no value and no term holds a newline, so a pair is one string, which can be told apart by hash
+    pairs = F.array_distinct(F.flatten(F.concat(*[F.when(F.size(f"_m_{k}") > 0, of_kind(k)).otherwise(F.array().cast("array<array<string>>")) for k in KINDS])))
+    counted = _matches(docs).where(_any_match()).select(F.explode(pairs).alias("_pair")).groupBy("_pair").agg(F.count("*").alias("n_both"))
+    at = F.split("_pair", "\n")
+    return counted.select(at[0].alias("entity"), at[1].alias("term"), "n_both")
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``_term, n_docs``: documents that hold each term, named by a 64-bit hash; copies count like any other document."""
+    hashes = F.transform(F.array_distinct(_words(F.col("_text"))), lambda w: F.xxhash64(w))
+    return docs.select(F.explode(hashes).alias("_term")).groupBy("_term").agg(F.count("*").alias("n_docs"))
 
 
 def disclosing_terms(pairs: DataFrame, counts: DataFrame, generalise_bits: float = GENERALISE_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
-    """``entity, term, bits, action`` for terms above the disclosure threshold.
+    """``entity, term, n_both, n_docs, bits, action`` for terms above the disclosure threshold.
 
     ``pairs`` are the ``entity_terms``, ``counts`` the ``term_counts`` of the
-    corpus. A term counts once in a document, and copies count like any other
-    document. Every pair is measured, however rare the entity or the term.
+    corpus. Every pair is measured, however rare the entity or the term.
     """
-    together = pairs.groupBy("term", "entity").agg(F.sum("n_copies").alias("n_both"))
     bits = -F.log2(F.col("n_both") / (F.col("n_docs") + UNSEEN_DOCS))
     return (
-        counts.join(together, "term").select("entity", "term", bits.alias("bits"))
+        pairs.withColumn("_term", F.xxhash64("term")).join(counts, "_term").select("entity", "term", "n_both", "n_docs", bits.alias("bits"))
         .where(F.col("bits") <= generalise_bits)
         .withColumn("action", F.when(F.col("bits") <= remove_bits, "remove").otherwise("generalise"))
     )
 
 
-def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text") -> DataFrame:
+def _key(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def marked_terms(docs: DataFrame, flagged: DataFrame, everywhere: bool) -> DataFrame:
+    """``_key, _terms``: for texts (by hash) that hold flagged terms, these with their actions.
+
+    A text that holds an entity: the entity's terms. With ``everywhere`` any
+    text: terms of which at least one entity is the likelier reading, so that
+    at most ``REMOVE_BITS`` are left. Where a term has several actions the
+    stricter holds.
+    """
+    values = find_values(docs)
+    held = values.where(F.size("_spans") > 0).select(_key(F.col("_text")).alias("_key"), "_text", "_spans")
+    names = F.transform("_spans", lambda s: F.coalesce(*[F.when(s["kind"] == i, _identity(k, s["value"])) for i, k in enumerate(KINDS)]))
+    entities = held.select("_key", F.explode(F.array_distinct(names)).alias("entity")).distinct()
+    terms = held.select("_key", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term")).distinct()
+    # terms first, as few of them are flagged; then only those of the text's own entities
+    listed = terms.join(flagged.select("entity", "term", "action"), "term").join(entities, ["_key", "entity"], "left_semi").select("_key", "term", "action")
+    if everywhere:
+        # only terms that stand in other documents, too
+        certain = flagged.where((F.col("action") == "remove") & (F.col("n_docs") > F.col("n_both"))).select("term").distinct()
+        certain = materialize(certain, "certain-terms")
+        words = docs.select(_key(F.col("_text")).alias("_key"), F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
+        listed = listed.unionByName(words.join(certain, "term").select("_key", "term", F.lit("remove").alias("action")))
+    # "remove" sorts last
+    strictest = listed.groupBy("_key", "term").agg(F.max("action").alias("action"))
+    return strictest.groupBy("_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "action")))).alias("_terms"))
+
+
+def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text", everywhere: bool = False) -> DataFrame:
     """``_row`` (struct of ``payload``) with ``text`` and ``spans`` of every row.
 
     ``spans`` (array of kind, start, end, value, action) has the pattern
     matches by kind and start, then the disclosing terms by start; a term that
-    overlaps a pattern match is part of it. A null text is empty. Rows may
-    repeat, ids are not looked at, and copies of a text get the same spans.
+    overlaps a pattern match is part of it. Terms are marked in documents that
+    hold the entity; with ``everywhere`` those that leave at most
+    ``REMOVE_BITS`` are marked in all documents. A null text is empty. Rows may
+    repeat, ids are not looked at, and copies of a text get the same spans; a
+    term with two actions takes the stricter; an empty table gives no rows.
+    The table is read once for each count, so no text is written; it meets the
+    marked terms by the hash of its text.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_row")
-    whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    based = find_values(docs.select(row, whole.alias("_text")))
-    hit = F.size("_spans") > 0
-    kept = based.select("_row", F.col("_text").alias("_whole"), F.when(hit, F.col("_text")).alias("_text"), "_spans", F.when(hit, F.unhex(F.sha2(F.col("_text").cast("binary"), 256))).alias("_hash"))
-    found = materialize(kept, "values")
-    pairs = entity_terms(found)
-    flagged = materialize(disclosing_terms(pairs, term_counts(found.select(F.col("_whole").alias("_text")))), "disclosing-terms")
-    held = found.where("_hash is not null")
-    # only terms of the text itself, so that those of a frequent entity don't add up;
-    # a term may disclose several entities of a text: the stricter action holds ("remove" sorts last)
-    listed = pairs.join(flagged, ["term", "entity"]).groupBy("_hash", "term").agg(F.max("action").alias("action"))
-    terms = listed.groupBy("_hash").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "action")))).alias("_terms"))
-    joined = held.join(terms, "_hash", "left")
+    whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
+    texts = docs.select(whole)
+    pairs = materialize(entity_terms(texts), "entity-terms")
+    flagged = materialize(disclosing_terms(pairs, term_counts(texts)), "disclosing-terms")
+    marks = materialize(marked_terms(texts, flagged, everywhere), "marked-terms")
+    found = find_values(docs.select(row, whole)).withColumn("_key", _key(F.col("_text"))).join(marks, "_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    marked = joined.withColumn("_pattern", pattern).withColumn("_words", F.when(F.col("_terms").isNotNull(), _found(F.col("_text"), F.col("_pattern"))).otherwise(F.array().cast("array<string>")))
-    spots = F.when(F.size("_words") > 0, located(F.col("_text"), F.col("_pattern"), F.col("_words"), len(KINDS))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    marked = found.withColumn("_pattern", pattern).withColumn("_hits", F.when(F.col("_terms").isNotNull(), _found(F.col("_text"), F.col("_pattern"))).otherwise(F.array().cast("array<string>")))
+    spots = F.when(F.size("_hits") > 0, located(F.col("_text"), F.col("_pattern"), F.col("_hits"), len(KINDS))).otherwise(F.array().cast(f"array<{SPAN}>"))
     marked = marked.withColumn("_spots", spots)
     free = F.filter("_spots", lambda w: ~F.exists("_spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
     acted = F.transform(free, lambda w: w.withField("action", F.coalesce(F.try_element_at(F.col("_terms"), F.lower(w["value"])), F.lit("generalise"))))
-    with_terms = marked.select("_row", F.col("_whole").alias("text"), F.concat("_spans", acted).alias("spans"))
-    without = found.where("_hash is null").select("_row", F.col("_whole").alias("text"), F.col("_spans").alias("spans"))
-    return without.unionByName(with_terms)
+    return marked.select("_row", F.col("_text").alias("text"), F.concat("_spans", acted).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -192,13 +247,14 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text``.
 
     A null text stays null; ``n_chars``, where there is one, follows the text.
+    ``everywhere`` as in ``find_disclosures``.
     """
     kinds = dict(docs.dtypes)
-    out = find_disclosures(docs, docs.columns)
+    out = find_disclosures(docs, docs.columns, everywhere=everywhere)
     changed = F.size("spans") > 0
     done = out.withColumn("_done", F.when(changed, redact(F.col("text"), F.col("spans"))).otherwise(F.col("_row.text")))
     columns = {c: F.col(f"_row.`{c}`") for c in docs.columns}
@@ -209,8 +265,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """Counts, spans and their digest for every document."""
-    out = find_disclosures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    """Counts, spans and their digest for every document; terms are marked everywhere."""
+    out = find_disclosures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], everywhere=True)
     names = F.array(*[F.lit(k) for k in (*KINDS, TERM_KIND)])
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
