@@ -1,8 +1,11 @@
 """Quality rules with host-level verdicts.
 
-Rules are counted for every whole text with DataFrame functions only. Failures
-are added up by host, a host's rate is shrunk by a beta prior that is fitted
-to all hosts, and the verdict of the host goes back to its documents.
+Rules are counted for every whole text with DataFrame functions only. Some
+rules reject a document on their own; the others are doubts. Failures of every
+rule are added up by host, a host's rates are shrunk by beta priors that are
+fitted to all hosts, and the verdicts of the host go back to its documents: a
+doubt is forgiven where the host rarely raises it, and rejects the document
+where the host often does.
 """
 
 from __future__ import annotations
@@ -17,10 +20,16 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: Fixed value: everything that is not a symbol of the contract.
 NO_SYMBOLS = "[^#*$%&|<>]+"
-#: A host is rejected when its shrunk failure rate is above this.
+#: A host is rejected when its shrunk rate of rejected documents is above this.
 HOST_RATE = 0.5
-#: Hosts up to this many are broadcast; more are joined by shuffle.
-BROADCAST_HOSTS = 1_000_000
+#: A doubt rejects a document of a host whose shrunk rate of this doubt is above this.
+DOUBT_RATE = 0.02
+#: Doubts: repeated lines are more than this many percent of the lines with a word,
+#: or there are more symbols than words.
+MAX_DUP_PERCENT = 30
+#: Every rule whose failures are added up by host; the first rejects by itself.
+RULES = ("base_failed", "many_dup_lines", "many_symbols")
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({NON_SPACE_CLASS})"), 1)
@@ -33,11 +42,11 @@ def window_hashes(ws: Column, window: int = WINDOW) -> Column:
 
 
 def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``.
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and the ``RULES``, true where one fails.
 
     A null text counts as empty. Code points are counted, not bytes.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(NON_SPACE_CLASS))
@@ -48,7 +57,7 @@ def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     two = one.select(
         *carried, "n_symbols", F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size("_lines").alias("_n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("_words") > WINDOW, window_hashes(F.col("_words"))).alias("_hashes"),
     )
     # only texts in which a hash repeats are looked at further: hashes are sorted with
@@ -67,6 +76,8 @@ def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return six.select(
         *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
+        (100 * F.col("n_dup_lines") > MAX_DUP_PERCENT * F.col("_n_lines")).alias("many_dup_lines"),
+        (F.col("n_symbols") > F.col("n_words")).alias("many_symbols"),
     )
 
 
@@ -76,40 +87,56 @@ def host_of(docs: DataFrame, host: Column | None = None) -> DataFrame:
 
 
 def host_rates(counted: DataFrame) -> DataFrame:
-    """``_host, n, failed, rate``: failure rates shrunk to the prior of all hosts.
+    """``_host, n`` and, for each rule, ``rate_<rule>``: its failure rate shrunk to the prior of all hosts.
 
-    The prior is a beta distribution fitted by moments to the rates of the
-    hosts. Where they don't vary beyond chance, or there is one host, the
-    prior is one pseudo document at the common rate.
+    The prior of a rule is a beta distribution fitted by moments to the rates
+    of the hosts. Where they don't vary beyond chance, all hosts have the
+    common rate; where they vary as much as rates can, a host's own documents
+    count for all but one pseudo document.
     """
-    by_host = counted.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    hosts = by_host.withColumn("_r", F.col("failed") / F.col("n"))
-    # one row of three numbers
-    mean, variance, inverse = hosts.agg(F.sum("failed") / F.sum("n"), F.coalesce(F.var_samp("_r"), F.lit(0.0)), F.avg(1 / F.col("n"))).first()
-    chance = (mean or 0.0) * (1 - (mean or 0.0))
-    between = max(variance - chance * (inverse or 0.0), 0.0)
-    strength = max(chance / between - 1, 1.0) if 0 < between < chance else 1.0
-    return hosts.select("_host", "n", "failed", ((F.col("failed") + strength * (mean or 0.0)) / (F.col("n") + strength)).alias("rate"))
+    hosts = counted.groupBy("_host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES])
+    share = lambda r: F.col(r) / F.col("n")
+    # one row of a few numbers
+    moments = hosts.agg(F.avg(1 / F.col("n")).alias("inverse"), *[c for r in RULES for c in ((F.sum(r) / F.sum("n")).alias(f"mean_{r}"), F.var_samp(share(r)).alias(f"var_{r}"))]).first()
+
+    def rate(rule: str) -> Column:
+        mean, variance = moments[f"mean_{rule}"] or 0.0, moments[f"var_{rule}"] or 0.0
+        chance = mean * (1 - mean)
+        between = variance - chance * (moments["inverse"] or 0.0)
+        if between <= 0:
+            return F.lit(float(mean))
+        strength = max(chance / between - 1, 1.0)
+        return (F.col(rule) + strength * mean) / (F.col("n") + strength)
+
+    return hosts.select("_host", "n", *[rate(r).alias(f"rate_{r}") for r in RULES])
 
 
-def with_verdicts(counted: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
+def with_verdicts(counted: DataFrame, host_rate: float = HOST_RATE, doubt_rate: float = DOUBT_RATE) -> DataFrame:
     """Adds ``host_rate`` and ``kept`` to a table of rule counts with ``_host``.
 
-    A document is kept when it passes the base rules and its host is not
-    rejected. The hosts go to all tasks only when they are counted and few;
-    else they are joined by shuffle, where Spark splits a hot host.
+    A document is kept when it passes the base rules, its host is not
+    rejected, and it raises no doubt that its host often raises. A rate that
+    is just the limit is not above it. The table of hosts is written, so that
+    Spark sees its size: a small one goes to all tasks, else hosts are joined
+    by shuffle, where Spark splits a hot host.
     """
-    rates = materialize(host_rates(counted).select("_host", F.col("rate").alias("host_rate")), "host-rates")
-    if rates.count() <= BROADCAST_HOSTS:
-        rates = F.broadcast(rates)
-    return counted.join(rates, "_host", "left").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_rate)).drop("_host")
+    rates = materialize(host_rates(counted).drop("n"), "host-rates")
+    joined = counted.join(rates, "_host", "left").withColumnRenamed("rate_base_failed", "host_rate")
+    kept = ~F.col("base_failed") & (F.col("host_rate") <= host_rate)
+    for rule in RULES[1:]:
+        kept = kept & ~(F.col(rule) & (F.col(f"rate_{rule}") > doubt_rate))
+    return joined.withColumn("kept", kept).drop("_host", *[f"rate_{r}" for r in RULES[1:]])
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """Counts and verdicts of every document, without its text."""
+    """Counts and verdicts of every document, without its text.
+
+    A null source is a host of its own; repeated rows are documents like any
+    others; an empty table gives no rows.
+    """
     counted = host_of(rule_counts(docs.select("doc_id", "text", "source"))).drop("text", "source")
     out = with_verdicts(materialize(counted, "rule-counts"))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RULES[1:])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -98,17 +98,30 @@ covered as (select doc_id, count(distinct p) n from (select doc_id, unnest(range
 c as (
   select d.doc_id, host, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars,
     cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) n_symbols,
-    cast(len(lines) - len(list_distinct(lines)) as bigint) n_dup_lines, cast(coalesce(n, 0) as bigint) n_repeat_words
+    len(lines) n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) n_dup_lines, cast(coalesce(n, 0) as bigint) n_repeat_words
   from d left join covered using (doc_id)
 ),
-b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from c),
-hosts as (select host, count(*) n, count(*) filter (base_failed) f from b group by host),
-m as (select sum(f) / sum(n) mean, coalesce(var_samp(f / n), 0) v, avg(1 / n) inv from hosts),
-s as (select mean, greatest(v - mean * (1 - mean) * inv, 0) b, mean * (1 - mean) c from m),
-p as (select mean, greatest(case when b > 0 and b < c then c / b - 1 else 1 end, 1) k from s),
-rates as (select host, (f + k * mean) / (n + k) rate from hosts, p)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 kept
-from b join rates using (host)
+b as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, 100 * n_dup_lines > 30 * n_lines many_dup_lines,
+    n_symbols > n_words many_symbols
+  from c
+),
+hosts as (
+  select host, rule, count(*) n, count(*) filter (failed) f
+  from (unpivot (select host, base_failed, many_dup_lines, many_symbols from b) on base_failed, many_dup_lines, many_symbols into name rule value failed)
+  group by host, rule
+),
+m as (select rule, sum(f) / sum(n) mean, coalesce(var_samp(f / n), 0) v, avg(1 / n) inv from hosts group by rule),
+s as (select rule, mean, mean * (1 - mean) c, v - mean * (1 - mean) * inv between_hosts from m),
+rates as (
+  select host, rule, case when between_hosts <= 0 then mean else (f + greatest(c / between_hosts - 1, 1) * mean) / (n + greatest(c / between_hosts - 1, 1)) end rate
+  from hosts join s using (rule)
+),
+r as (pivot rates on rule in ('base_failed', 'many_dup_lines', 'many_symbols') using max(rate) group by host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b.base_failed,
+  not b.base_failed and r.base_failed <= 0.5 and not (b.many_dup_lines and r.many_dup_lines > 0.02) and not (b.many_symbols and r.many_symbols > 0.02) kept,
+  b.many_dup_lines, b.many_symbols
+from b join r using (host)
 """
 
 OP7_SQL = r"""
