@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and every executor can reach.
@@ -32,5 +37,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def written_tables() -> Iterator[list[str]]:
+    """The folders of the tables that are materialized inside, for who knows when they are done with."""
+    paths: list[str] = []
+    before = _WRITTEN.set(paths)
+    try:
+        yield paths
+    finally:
+        _WRITTEN.reset(before)
+        if (outer := _WRITTEN.get()) is not None:
+            outer.extend(paths)
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete written tables that nothing will read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete materialized tables once what was made from them is written."""
+    for table in tables:
+        spark = table.sparkSession
+        base = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/").removeprefix("file:").lstrip("/")
+        folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+        drop_tables(spark, [f for f in folders if base and base in f])
