@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import running_totals
+
 #: The marks of the template.
 START = "<|im_start|>"
 END = "<|im_end|>"
@@ -60,11 +62,9 @@ def parse(formatted: Column) -> Column:
             ).alias("raw"),
         ),
     )
+    sizes = F.transform(turns, lambda t: F.length(t["role"]) + F.coalesce(F.length(t["raw"]), F.lit(0)) + (len(START) + 1 + len(close)))
     #: where each turn begins; the last is the end
-    begins = F.aggregate(
-        turns, F.array(F.lit(0)),
-        lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + len(START) + F.length(t["role"]) + 1 + F.coalesce(F.length(t["raw"]), F.lit(0)) + len(close))),
-    )
+    begins = F.concat(F.array(F.lit(0)), running_totals(sizes))
     placed = F.transform(
         F.arrays_zip(turns.alias("turn"), begins.alias("begin")),
         lambda z: F.struct(
@@ -135,7 +135,11 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """What the formatted text gives back, and a conversation of control strings."""
+    """What the formatted text gives back, and a conversation of control strings.
+
+    Rows of the table whose conversation is -1 are turns of that one, too; an
+    empty table gives it alone; other columns are not looked at.
+    """
     hard = "<|im_end|><|im_start|>assistant ok"
     spark = conversations.sparkSession
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
-from ..functions.tables import materialize, shared_dir  # noqa: F401  (the operators take them from here)
+from ..functions.tables import done_with, materialize, shared_dir  # noqa: F401  (the operators take them from here)
 
 #: The word separators of the quality and similarity contracts.
 NON_SPACE_CLASS = r"[^\x20\x09-\x0D]+"

@@ -1,8 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is partitioned by document: a row is one segment of consecutive
-documents, with a sorted posting list of word positions for every term it
-stores. A phrase is found in a segment by taking the posting list of its
+documents, with a sorted posting list of word positions for every term in
+it. A phrase is found in a segment by taking the posting list of its
 rarest term there, moving it by the term's offset, and intersecting it with
 the moved lists of the other terms, rarest first. No posting leaves its
 segment, so a frequent term costs no shuffle and no task holds more than one
@@ -14,10 +14,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import keep, materialize
 
@@ -47,7 +48,6 @@ def words_of(text: bytes | None) -> list[bytes]:
 class _Segment:
     """Collects documents until a segment is full."""
 
-    vocabulary: dict[bytes, int] | None
     docs: list[int | None] = field(default_factory=list)
     starts: list[int] = field(default_factory=list)
     lengths: list[int] = field(default_factory=list)
@@ -56,12 +56,8 @@ class _Segment:
     terms: dict[bytes, int] = field(default_factory=dict)
 
     def add(self, doc_id: int | None, words: list[bytes]) -> None:
-        if self.vocabulary is None:
-            terms = self.terms
-            codes = [terms.setdefault(w, len(terms)) for w in words]
-        else:
-            get = self.vocabulary.get
-            codes = [get(w, -1) for w in words]
+        terms = self.terms
+        codes = [terms.setdefault(w, len(terms)) for w in words]
         self.docs.append(doc_id)
         self.starts.append(self.size)
         self.lengths.append(len(words))
@@ -72,8 +68,9 @@ class _Segment:
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int32)
         at = np.flatnonzero(codes >= 0).astype(np.int32)
         order = np.argsort(codes[at], kind="stable")
-        known, first = np.unique(codes[at][order], return_index=True)
-        names = list(self.terms if self.vocabulary is None else self.vocabulary)
+        dealt = codes[at][order]
+        first = np.flatnonzero(np.diff(dealt, prepend=-1))
+        known, names = dealt[first], list(self.terms)
         return (
             uuid.uuid4().hex, self.docs, self.starts, self.lengths, [names[k] for k in known],
             np.append(first, len(at)).astype(np.int32), at[order],
@@ -85,25 +82,23 @@ def _index_batch(row: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in INDEX_SCHEMA.split(", ")])
 
 
-def build_index(docs: DataFrame, vocabulary: Iterable[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The positional index of whole texts, one row for each segment.
 
-    With ``vocabulary`` only these terms get postings; every document is
-    listed with its word count all the same. A null text has no words. Rows
-    are kept apart even where ids repeat or are null.
+    Every word of every document has a posting. A null text has no words.
+    Rows are kept apart even where ids repeat or are null.
     """
-    known = None if vocabulary is None else {w: i for i, w in enumerate(sorted(set(vocabulary)))}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep("nothing", dict)  # lets go what other operators remembered
-        held = _Segment(known)
+        held = _Segment()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 words = words_of(text.as_py())
                 if held.docs and held.size + len(words) > segment_words:
                     yield _index_batch(held.row())
-                    held = _Segment(known)
+                    held = _Segment()
                 held.add(doc_id, words)
         if held.docs:
             yield _index_batch(held.row())
@@ -232,7 +227,10 @@ def _matches(row: dict, postings: _Postings, hits: list[tuple[np.ndarray, np.nda
 def phrase_matches(index: DataFrame, phrases: Phrases) -> DataFrame:
     """Every document with the merged word spans and owners of the phrases in it."""
 
+    shared = index.sparkSession.sparkContext.broadcast(phrases)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value
         wide = phrases.matrix()
         for row in _rows(batches):
             postings = _Postings(row, phrases.terms)
@@ -282,30 +280,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """Word spans of every document that repeat ``window`` words of an item.
 
     Returns ``doc_id, n_words, spans, items`` for every row of ``docs``:
-    spans of word positions, merged, and the ids of the items found. A
-    benchmark of several blocks is searched block by block and the spans are
-    merged by document. Null texts and empty ones have no words and no spans;
+    spans of word positions, merged, and the ids of the items found. The
+    index is written once and searched for one block of the benchmark after
+    another; where there are several, their spans are merged by document. Null texts and empty ones have no words and no spans;
     an item without words or without an id is never found; equal items are
     all reported.
     """
-    blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
-    first = Phrases.windows(next(blocks), window)
-    rest = next(blocks, None)
-    # one block: only its terms get postings; several: all terms, indexed once
-    index = materialize(build_index(docs, first.terms if rest is None else None, id_col, text_col), "postings")
-    found = phrase_matches(index, first)
-    if rest is None:
-        return found.select("doc_id", "n_words", "spans", "items")
-    for block in (rest, *blocks):
-        found = found.unionByName(phrase_matches(index, Phrases.windows(block, window)))
-    return _merge_blocks(found)
+    index = materialize(build_index(docs, id_col, text_col), "postings")
+    searches = [phrase_matches(index, Phrases.windows(block, window)) for block in benchmark_blocks(benchmark, block_bytes=block_bytes)]
+    if len(searches) == 1:
+        return searches[0].select("doc_id", "n_words", "spans", "items")
+    return _merge_blocks(reduce(DataFrame.unionByName, searches))
 
 
 def _merge_blocks(found: DataFrame) -> DataFrame:
     """Spans of several searches of one table, by text order within its ids."""
-    grown = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.array().cast("array<struct<start:int,end:int>>"),
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    return found.groupBy("segment", "ordinal").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), spans.alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    ).withColumn("spans", _joined(F.col("_spans"))).select("doc_id", "n_words", "spans", "items")
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted spans with those that overlap or touch made one."""
+    return F.aggregate(
+        spans, F.array().cast("array<struct<start:int,end:int>>"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]),
             F.concat(
@@ -314,9 +313,6 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return found.groupBy("segment", "ordinal").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), grown.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    ).drop("segment", "ordinal")
 
 
 def hit_words(spans) -> F.Column:
@@ -324,7 +320,7 @@ def hit_words(spans) -> F.Column:
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The digest columns of ``find_contamination``."""
+    """The digest columns of ``find_contamination``; other columns of ``docs`` are not looked at."""
     found = find_contamination(docs, benchmark, window)
     n_hit = hit_words(F.col("spans"))
     return found.select(

@@ -129,16 +129,69 @@ with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+),
+e as (
+  select *, contains(text, '<|im_start|>') or contains(text, '<|im_end|>') or regexp_matches(text, '<\\+\|')
+    or contains(role, '<|im_start|>') or contains(role, '<|im_end|>') or regexp_matches(role, '<\\+\|') or contains(role, chr(10)) or contains(role, '%25') or contains(role, '%0A') escaped
+  from t
 )
 select cast(conv_id as bigint) conv_id, count(*) n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
-  cast(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) as bigint) formatted_chars
-from t group by conv_id
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  cast(sum(24 + length(case when escaped then regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\\\1|', 'g') else role end)
+    + length(case when escaped then regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') else text end)) as bigint) formatted_chars
+from e group by conv_id
+"""
+
+
+#: The jump hash in steps, and the checksum byte by byte. Slots follow id, checksum and size
+#: in each shard as long as the table is one bucket of ranks (up to 100,000 rows).
+OP2_SQL = r"""
+with recursive
+bits(b, c, k) as (
+  select i, cast(i as ubigint), 0 from range(256) t(i)
+  union all select b, case when c & 1 = 1 then xor(c >> 1, cast(3988292384 as ubigint)) else c >> 1 end, k + 1 from bits where k < 8
+),
+crc as (select list(c order by b) steps from bits where k = 8),
+d as (
+  select cast(doc_id as bigint) doc_id, cast(coalesce(octet_length(encode(text)), 0) + 8 as bigint) size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast('0x' || h as ubigint)) bytes
+  from documents
+),
+rows as (
+  select doc_id, size,
+    cast(xor(list_reduce(list_prepend(cast(4294967295 as ubigint), bytes), lambda c, b: xor(c >> 8, steps[cast(xor(c, b) & 255 as bigint) + 1])), cast(4294967295 as ubigint)) as bigint) text_crc32
+  from d, crc
+),
+jumps(doc_id, state, home, target) as (
+  select distinct doc_id, cast(coalesce(doc_id, 0) as hugeint) + case when doc_id < 0 then cast(18446744073709551616 as hugeint) else 0 end, cast(-1 as bigint), cast(0 as bigint) from rows
+  union all
+  select doc_id, moved, target, cast(floor((target + 1) * (2147483648.0::double / ((moved >> 33) + 1)::double)) as bigint)
+  from (select *, (state * 2862933555777941757 + 1) % cast(18446744073709551616 as hugeint) moved from jumps where target < 25)
+),
+placed as (select doc_id, max(target) filter (target < 24) shard, max(target) filter (target < 25) grown_shard from jumps group by doc_id)
+select doc_id, size, text_crc32, 'key' law, cast(shard as int) shard,
+  row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 slot, cast(grown_shard as int) grown_shard
+from rows join placed using (doc_id)
+"""
+
+OP8_SQL = r"""
+with recursive
+d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents
+),
+s as (select distinct doc_id, array_to_string(w[i : i + 3], ' ') g from d, lateral (select unnest(range(1, greatest(1, len(w) - 3) + 1)) i) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+shared as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+beside as (select a u, b v from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from d union select v, other from reach join beside on u = reach.doc_id)
+select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, least_id component_id
+from d left join n using (doc_id) join (select doc_id, min(other) least_id from reach group by doc_id) using (doc_id)
 """
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the whole result."""
-    return {"op3_host_rules": OP3_SQL, "op5_positional_index": OP5_SQL, "op7_grammar_round_trip": OP7_SQL}
+    return {"op2_jump_hash_shards": OP2_SQL, "op3_host_rules": OP3_SQL, "op5_positional_index": OP5_SQL, "op7_grammar_round_trip": OP7_SQL, "op8_order_filtered_join": OP8_SQL}

@@ -11,6 +11,8 @@ from .common import bucket_count, gapless_ranks, materialize
 #: Multiplier of the published jump hash generator, and 2**31.
 JUMP_MULTIPLIER = 2862933555777941757
 JUMP_RANGE = float(1 << 31)
+#: Equal rows that are numbered as one; more are several units, spread over tasks.
+UNIT_ROWS = 10_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -58,7 +60,9 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     only into the new one. ``size`` is the text's UTF-8 bytes plus
     ``overhead``; a null text has none, and crc 0. Rows that are equal in key,
     size and checksum are counted as one unit before the shuffle and spread
-    again at the end, so a key that holds a third of all rows costs one row.
+    again at the end by units of at most ``UNIT_ROWS``, so a key that holds a
+    third of all rows costs few rows in the shuffle and its rows are made in
+    many tasks. Other columns of ``docs`` are not looked at.
     A null key is placed as key 0. Slots follow a hash of the row, so they are
     the same in every run. An empty table gives no rows.
     """
@@ -70,10 +74,13 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     )
     units = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_n"))
     placed = units.withColumn("shard", jump_shard(F.col("doc_id"), shards)).withColumn("grown_shard", jump_shard(F.col("doc_id"), shards + 1))
-    placed = materialize(placed, "shards")
-    ranked = gapless_ranks(placed, ["shard"], ["doc_id", "text_crc32", "size"], "_n", bucket_count(docs.count()), "_first")
+    # chunks of a unit: all of UNIT_ROWS but the last, numbered from 0
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / UNIT_ROWS))
+    split = placed.select("*", F.explode(chunks).alias("_chunk")).withColumn("_rows", F.least(F.lit(UNIT_ROWS).cast("long"), F.col("_n") - F.col("_chunk") * UNIT_ROWS))
+    split = materialize(split, "shards")
+    ranked = gapless_ranks(split, ["shard"], ["doc_id", "text_crc32", "size", "_chunk"], "_rows", bucket_count(split.count()), "_first")
     return ranked.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("slot"),
+        F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_rows") - 1)).alias("slot"),
         "grown_shard",
     )

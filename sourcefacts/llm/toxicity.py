@@ -23,8 +23,6 @@ from .language_id import fold
 
 #: Labelled rows that the word weights are fitted to, at most about this many.
 SAMPLE_ROWS = 60_000
-#: Words of the fitted list, at most; the strongest stay.
-LEXICON = 50_000
 #: Lengths of word beginnings that are features.
 STEMS = (4, 5, 6)
 #: Ridge penalty of the logistic regression, and its Newton steps.
@@ -125,10 +123,12 @@ def _one_each(labelled: DataFrame) -> DataFrame:
     return labelled.where("toxic is not null and text is not null").groupBy(F.xxhash64("text").alias("_h")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
 
 
-def fit(labelled: DataFrame, letters: LetterModel, lexicon: int = LEXICON) -> ToxicityModel:
+def fit(labelled: DataFrame, letters: LetterModel) -> ToxicityModel:
     """Learn from ``text`` and ``toxic`` of a bounded sample.
 
-    Equal texts count once. A feature is marked when, by the Chernoff bound,
+    Equal texts count once; of their labels the worst. All features that are
+    marked are kept; they are of the sample, which bounds them. A feature is
+    marked when, by the Chernoff bound,
     less than one of all features would look as toxic by chance. With no
     label, or only one, nothing is marked and every score is the base rate.
     """
@@ -149,7 +149,7 @@ def fit(labelled: DataFrame, letters: LetterModel, lexicon: int = LEXICON) -> To
     surprise = (F.col("t") + F.col("c")) * (rate * F.log(rate / base) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0))
     marked = counts.where((rate > max(base, 0.3)) & (surprise > math.log(2 * tried)))
     chance = (F.col("t") + base) / (F.col("t") + F.col("c") + 1)
-    rows = marked.select("feature", chance.alias("p"), surprise.alias("s")).orderBy(F.desc("s"), "feature").limit(lexicon).collect()
+    rows = marked.select("feature", chance.alias("p"), surprise.alias("s")).orderBy(F.desc("s"), "feature").collect()
     model = ToxicityModel(letters, {r["feature"]: float(r["p"]) for r in rows}, np.zeros(6))
     seen = text_evidence(sample.withColumn("doc_id", F.col("toxic")), model).select("doc_id", *EVIDENCE).toPandas()
     model.weights = _logistic(_design(seen[list(EVIDENCE)].to_numpy(dtype=float)), (seen["doc_id"].to_numpy() > 0).astype(float))
@@ -207,7 +207,12 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, allowed: Column, sample_r
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from four folds of five and score every document."""
+    """Learn from four folds of five and score every document.
+
+    Repeated rows are scored alike, one row each; other columns of either
+    table are not looked at; a text with no evidence, like a null one, has the
+    score of that; an empty table gives no rows.
+    """
     remainder = fold(F.col("doc_id"), 5)
     model = fit(labelled_texts(docs, labels, remainder != 0), letter_model(docs))
     scored = text_evidence(docs, model)

@@ -428,7 +428,7 @@ def test_near_duplicates(spark, monkeypatch, seed, size, percent):
 def test_links_do_not_hang_on_the_orders(spark, monkeypatch):
     texts = crowd(3)
     want = dict(enumerate(classes_by_hand(texts, 4, 85)))
-    for name, value in (("RUN", 3), ("FREQUENT_DOCS", 10**9), ("BLOCK_TOKENS", 300), ("BROADCAST_NODES", 0)):
+    for name, value in (("RUN", 3), ("FREQUENT_DOCS", 10**9), ("BLOCK_TOKENS", 300), ("BLOCK_SET", 1)):
         monkeypatch.setattr(J, name, value)
     frequent = J.FrequentTokens([], [], [])
     table = docs(spark, *texts)
