@@ -186,7 +186,7 @@ def marked_terms(docs: DataFrame, flagged: DataFrame, everywhere: bool) -> DataF
     entities = held.select("_key", F.explode(F.array_distinct(names)).alias("entity")).distinct()
     terms = held.select("_key", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term")).distinct()
     # terms first, as few of them are flagged; then only those of the text's own entities
-    listed = terms.join(flagged.select("entity", "term", "action"), "term").join(entities, ["_key", "entity"], "left_semi").select("_key", "term", "action")
+    listed = terms.join(flagged.select("entity", "term", "action").hint("merge"), "term").join(entities, ["_key", "entity"], "left_semi").select("_key", "term", "action")
     if everywhere:
         # only terms that stand in other documents, too
         certain = flagged.where((F.col("action") == "remove") & (F.col("n_docs") > F.col("n_both"))).select("term").distinct()
@@ -209,7 +209,7 @@ def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text"
     repeat, ids are not looked at, and copies of a text get the same spans; a
     term with two actions takes the stricter; an empty table gives no rows.
     The table is read once for each count, so no text is written; it meets the
-    marked terms by the hash of its text.
+    marked terms by the hash of its text, in a join by shuffle at every size.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_row")
     whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
@@ -217,7 +217,7 @@ def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text"
     pairs = materialize(entity_terms(texts), "entity-terms")
     flagged = materialize(disclosing_terms(pairs, term_counts(texts)), "disclosing-terms")
     marks = materialize(marked_terms(texts, flagged, everywhere), "marked-terms")
-    found = find_values(docs.select(row, whole)).withColumn("_key", _key(F.col("_text"))).join(marks, "_key", "left")
+    found = find_values(docs.select(row, whole)).withColumn("_key", _key(F.col("_text"))).join(marks.hint("merge"), "_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     marked = found.withColumn("_pattern", pattern).withColumn("_hits", F.when(F.col("_terms").isNotNull(), _found(F.col("_text"), F.col("_pattern"))).otherwise(F.array().cast("array<string>")))
     spots = F.when(F.size("_hits") > 0, located(F.col("_text"), F.col("_pattern"), F.col("_hits"), len(KINDS))).otherwise(F.array().cast(f"array<{SPAN}>"))
