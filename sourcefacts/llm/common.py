@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from contextlib import suppress
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
@@ -22,10 +27,19 @@ def keep(name: str, make):
     """
     if name not in _KEPT:
         _KEPT.clear()
+        _give_back()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
+def _give_back() -> None:
+    """Freed memory of this process to the system, as far as the allocators can tell it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # only where the C library has it
+
+
 def bucket_count(n_rows: int, rows_per_bucket: int = 100_000) -> int:
     """How many buckets keep the rows of one bucket near ``rows_per_bucket``."""
     return max(1, -(-n_rows // rows_per_bucket))

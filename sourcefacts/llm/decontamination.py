@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import keep, materialize
 
 #: Words of one segment; a longer document is a segment of its own.
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 400_000
 #: Bytes of benchmark text that are searched for at once; more go in blocks.
 BLOCK_BYTES = 2_000_000
 WINDOW = 10

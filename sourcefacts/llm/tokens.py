@@ -24,11 +24,11 @@ import pyarrow as pa
 from .common import keep
 
 #: Chunks, and pieces of them, that a worker remembers; a full memory is emptied.
-CACHE_CHUNKS, CACHE_PIECES = 700_000, 300_000
+CACHE_CHUNKS, CACHE_PIECES = 500_000, 150_000
 #: Longer chunks are encoded each time they occur, so the memory stays small.
 CACHE_CHARS = 48
 #: Bytes of text that are put together at once; a longer text goes alone.
-GROUP_BYTES = 1 << 24
+GROUP_BYTES = 1 << 22
 #: The last character of the Latin blocks, where normalisation changes nothing.
 LAST_LATIN = "ɏ"
 
@@ -113,11 +113,12 @@ class ChunkEncoder:
         return b"".join([piece[p] for p in self._pieces(chunk)])
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all(pa.array([text], pa.string()))[0]
+        return next(self.encode_all(pa.array([text], pa.string())))
 
-    def encode_all(self, texts: pa.Array) -> list[bytes]:
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of every text; those of a null text are none."""
-        return [ids for group in _groups(texts) for ids in self._encode_group(group)]
+        for group in _groups(texts):
+            yield from self._encode_group(group)
 
     def _encode_group(self, texts: pa.LargeStringArray) -> Iterator[bytes]:
         plain = [t or "" for t in texts.to_pylist()]
