@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
 from ..operators import reindex as I, search as S
 from ..sources import java_files as J
 from .proxy import fact, oracle
@@ -65,6 +66,17 @@ def a5_detect_build_system(spark, sf_dir):
     return J.detect_build_system(marks.unionByName(files(spark, sf_dir).select("repository_id", "relative_path")))
 
 
+def a6_stored_index(spark, sf_dir):
+    """An index is stored, then some repositories come again: one table smaller, one without any row."""
+    path = shared_dir(spark, "stored-index")
+    names, callers = symbols(spark, sf_dir).select("repository_id", "id", "kind"), edges(spark, sf_dir).select("repository_id", "id", "kind")
+    J.write_index({"symbols": names, "relationships": callers}, path)
+    again = F.col("repository_id") % 5 == 0
+    J.write_index({"symbols": names.where(again & (F.col("kind") != "METHOD")), "relationships": callers.where("false")}, path, names.where(again).select("repository_id").distinct())
+    back = J.read_index(spark, path, ["symbols", "relationships"])
+    return back["symbols"].withColumn("what", F.lit("symbol")).unionByName(back["relationships"].withColumn("what", F.lit("edge")))
+
+
 def e1_list_endpoints(spark, sf_dir):
     return S.list_endpoints(endpoints(spark, sf_dir), "ri").select("repository_id", "place", "id", "controller", "path", "http_method")
 
@@ -163,6 +175,8 @@ ORACLES = {
     "a4_source_limit_violations": oracle("""select repository_id, relative_path, 'FILE_TOO_LARGE' violation, file_size amount from told where file_size > 20000
       union all select repository_id, null, 'TOO_MANY_FILES', count(*) from told group by 1 having count(*) > 30""", STEPS),
     "a5_detect_build_system": oracle("""select n.n_nationkey::bigint repository_id, case n_nationkey % 4 when 0 then 'GRADLE' when 1 then 'MAVEN' when 2 then 'GRADLE_AND_MAVEN' else 'UNKNOWN' end build_system from nation n"""),
+    "a6_stored_index": oracle("""select repository_id, id, kind, 'symbol' what from symbols where repository_id % 5 <> 0 or kind <> 'METHOD'
+      union all select repository_id, id, kind, 'edge' from edges where repository_id % 5 <> 0"""),
     "e1_list_endpoints": oracle("""select repository_id, place, id, controller, path, http_method from (
       select *, row_number() over (partition by repository_id order by controller, path, http_method, id) place from endpoints where lower(path) like '%ri%' or lower(controller) like '%ri%') x where place <= 500"""),
     "e2_search_endpoints": oracle("""select query, place, id, http_method, path from (

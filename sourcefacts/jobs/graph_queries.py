@@ -72,6 +72,11 @@ def d6_bound_graph(spark, sf_dir):
     return nodes.join(edges, ["root", "repository_id"], "left").join(walk.all_reasons(), ["root", "repository_id"], "left").select("root", "repository_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "reason")
 
 
+def d6_bounded_walk(spark, sf_dir):
+    """Graphs of several levels that are cut; held against a queue in the tests."""
+    return X.forward_walk(type_roots(spark, sf_dir), forward(spark, sf_dir), DEPTH, node_limit=8, edge_limit=12).all_edges().select("root", "repository_id", "edge_id", "source_id", "target_id", "kind")
+
+
 def d7_external_terminals(spark, sf_dir):
     walk = X.forward_walk(type_roots(spark, sf_dir), forward(spark, sf_dir), 1, node_limit=10_000, edge_limit=10_000, externals=externals(spark, sf_dir))
     return walk.all_edges().where("edge_id like 'external-edge:%'").select("root", "repository_id", "edge_id", "source_id", "target_id", "kind")
@@ -111,7 +116,7 @@ def d12_affected_endpoints(spark, sf_dir):
 
 
 def d13_root_entity_edges(spark, sf_dir):
-    return G.traversable(fact(spark, sf_dir, "edges"), G.ENTITY_KINDS).select(F.col("source_id").alias("root"), "repository_id", "id", "target_id", "kind", "confidence")
+    return X.root_entity_edges(type_roots(spark, sf_dir), fact(spark, sf_dir, "edges")).select("root", "repository_id", "id", "target_id", "kind", "confidence")
 
 
 def d13_bounded_blast_radius(spark, sf_dir):
@@ -146,6 +151,12 @@ STEPS = {
     "steps_back": """select id root, repository_id, id node_id, 0 depth, true open from types union
       select h.root, h.repository_id, e.source_id, h.depth + 1, not exists (select 1 from tests where test_id = e.source_id) from steps_back h join back e on e.repository_id = h.repository_id and e.target_id = h.node_id where h.depth < 4 and h.open""",
     "seen_back": "select root, repository_id, node_id, min(depth) depth, bool_or(open or depth = 0) open from steps_back group by 1, 2, 3",
+    "own": "select distinct source_id root, target_id from edges where kind in ('READS_ENTITY', 'WRITES_ENTITY', 'MANAGES_ENTITY')",
+    # an entity that the root itself uses is shown from the start and not gone on from
+    "steps_shown": """select id root, repository_id, id node_id, 0 depth, true open from types union
+      select h.root, h.repository_id, e.source_id, h.depth + 1, t.test_id is null and o.root is null
+      from steps_shown h join back e on e.repository_id = h.repository_id and e.target_id = h.node_id left join tests t on t.test_id = e.source_id left join own o on o.root = h.root and o.target_id = e.source_id where h.depth < 4 and h.open""",
+    "seen_shown": "select root, repository_id, node_id, min(depth) depth, bool_or(open or depth = 0) open from steps_shown group by 1, 2, 3",
     "eps": "select repository_id, id endpoint_id, type_id, http_method, path from endpoints",
     "symbol_edges": "select s.root, s.repository_id, e.id edge_id, e.source_id, e.target_id, e.kind from seen s join fwd e on e.repository_id = s.repository_id and e.source_id = s.node_id where s.depth < 4",
     "other": """select distinct repository_id, owner_id source_id, concat_ws('-', method_id, cast("column" as varchar), callee, cast(arg_count as varchar)) id, "column" line from raw_calls where scope_kind = 'OTHER'""",
@@ -180,6 +191,10 @@ ORACLES = {
     "d11_blast_radius": oracle("select root, repository_id, node_id, depth from seen_back", STEPS),
     "d12_affected_endpoints": oracle("select distinct s.root, s.repository_id, p.endpoint_id, 'affected:' || p.endpoint_id edge_id from seen_back s join eps p on p.type_id = s.node_id and p.repository_id = s.repository_id", STEPS),
     "d13_root_entity_edges": oracle("select source_id root, repository_id, id, target_id, kind, confidence from edges where kind in ('READS_ENTITY', 'WRITES_ENTITY', 'MANAGES_ENTITY')"),
+    "d13_bounded_blast_radius": oracle(f"""select {_GRAPH_EDGE} from (
+        select s.root, s.repository_id, e.id edge_id, e.source_id, e.target_id, e.kind from seen_shown s join back e on e.repository_id = s.repository_id and e.target_id = s.node_id where s.depth < 4 and s.open
+        union all select distinct s.root, s.repository_id, 'affected:' || p.endpoint_id, 'endpoint:' || p.endpoint_id, s.node_id, 'REACHES' from seen_shown s join eps p on p.type_id = s.node_id and p.repository_id = s.repository_id
+        union all select source_id, repository_id, id, source_id, target_id, kind from edges where kind in ('READS_ENTITY', 'WRITES_ENTITY', 'MANAGES_ENTITY')) x""", STEPS),
     "d14_unresolved_counts": oracle("""select s.root, s.repository_id, cast(count(*) as bigint) unresolved, cast(count(*) as varchar) || ' call expression(s) could not be resolved.' warning
       from seen s join raw_calls c on c.repository_id = s.repository_id and c.owner_id = s.node_id and c.scope_kind = 'NONE' group by 1, 2""", STEPS),
     "d15_assemble_graphs": oracle("""select s.root, s.repository_id, count(*) nodes, coalesce(any_value(e.n), 0) edges, false truncated, cast(null as varchar) reason, s.root first_node

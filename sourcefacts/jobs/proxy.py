@@ -58,7 +58,7 @@ FACTS: dict[str, str] = {
         select t.repository_id, t.id type_id, 'f' || cast(f.slot as string) name, g.simple_name || '<Y>' type_text
         from (
           select l.l_orderkey % n.n o, l.l_partkey % 40 slot, min(l.l_partkey - l.l_partkey % 25 + (l.l_orderkey % n.n) % 25) target
-          from lineitem l cross join (select count(*) n from part) n where l.l_partkey % 40 < 30 group by l.l_orderkey % n.n, l.l_partkey % 40
+          from lineitem l cross join (select count(*) n from part) n group by l.l_orderkey % n.n, l.l_partkey % 40
         ) f join types t on t.k = f.o join types g on g.k = f.target
     """,
     "raw_calls": """
@@ -69,23 +69,24 @@ FACTS: dict[str, str] = {
           cast(l.l_suppkey % 3 as int) arg_count, l.l_linenumber line, cast(floor(l.l_extendedprice) as int) "column"
         from lineitem l cross join (select count(*) n from part) n
         join types g on g.k = l.l_partkey - l.l_partkey % 25 + (l.l_orderkey % n.n) % 25
-        where l.l_quantity <= 10
     """,
     "calls": """
         select c.repository_id, c.owner_id, m.simple_name method_name, case m.signature when '()' then 0 when '(int)' then 1 else 3 end method_arity, c.scope_kind, c.scope_name, c.callee, c.arg_count,
           coalesce(c.scope_name || '.', '') || c.callee || '(' || cast(c.arg_count as string) || ')' expr_text, t.relative_path, c.line, c."column"
         from raw_calls c join methods m on m.id = c.method_id join types t on t.id = c.owner_id
     """,
+    "line_groups": """
+        select l.l_orderkey % n.n o, l.l_linenumber % 3 slot, l.l_linestatus status, max(l.l_partkey - l.l_partkey % 25 + (l.l_orderkey % n.n) % 25) target, count(*) items
+        from lineitem l cross join (select count(*) n from part) n group by l.l_orderkey % n.n, l.l_linenumber % 3, l.l_linestatus
+    """,
     "edges": """
-        select distinct repository_id, source_id, target_id, kind, confidence, line, "column",
+        select repository_id, source_id, target_id, kind, confidence, line, "column",
           source_id || '>' || target_id || ':' || kind || ':' || cast(line as string) || ':' || cast("column" as string) || ':' || cast(cast(round(confidence * 100) as int) as string) id
         from (
-          select cast((l.l_orderkey % n.n) % 25 as bigint) repository_id, 'T' || cast(l.l_orderkey % n.n as string) source_id,
-            'T' || cast(l.l_partkey - l.l_partkey % 25 + (l.l_orderkey % n.n) % 25 as string) target_id,
-            case l.l_linenumber when 1 then 'INJECTS' when 2 then 'TESTS' when 3 then 'READS_ENTITY' when 4 then 'WRITES_ENTITY' when 7 then 'IMPLEMENTS' else 'CALLS' end kind,
-            case when l.l_discount < 0.015 then 0.6 when l.l_discount < 0.045 then 0.8 when l.l_discount < 0.075 then 0.9 else 1.0 end confidence,
-            l.l_linenumber line, cast(l.l_quantity as int) "column"
-          from lineitem l cross join (select count(*) n from part) n where l.l_quantity <= 2
+          select cast(g.o % 25 as bigint) repository_id, 'T' || cast(g.o as string) source_id, 'T' || cast(t.target as string) target_id,
+            case (floor(t.target / 25) + g.slot) % 7 when 0 then 'INJECTS' when 1 then 'TESTS' when 2 then 'READS_ENTITY' when 3 then 'WRITES_ENTITY' when 4 then 'IMPLEMENTS' else 'CALLS' end kind,
+            case g.items % 4 when 0 then 0.6 when 1 then 0.8 when 2 then 0.9 else 1.0 end confidence, cast(g.slot as int) line, case g.status when 'O' then 1 else 2 end "column"
+          from line_groups g join (select o, slot, max(target) target from line_groups group by o, slot) t on t.o = g.o and t.slot = g.slot
         ) e
     """,
     "files": """

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import DATA_BASES, EVIDENCE_CHARS, EXTERNAL_CHARS, TYPE_KINDS, arity, data_access, raw_type, truncated
+from ..functions.tables import materialize
 
 EDGE_COLUMNS = ["repository_id", "source_id", "target_id", "kind", "confidence", "resolution_method", "relative_path", "line", "column", "evidence_text", "emitted"]
 EDGE_KEY = ["repository_id", "source_id", "target_id", "kind", "relative_path", "line", "column"]
@@ -187,9 +188,10 @@ def resolve(symbols: DataFrame, type_refs: DataFrame, params: DataFrame, fields:
     Entity access does not hang on the order of files. ``seed_managed`` are
     stored MANAGES_ENTITY edges of files that are not read again.
     """
-    managed = managed_entity_edges(type_refs, symbols)
+    # several kinds of edges are made of these two, which are written for that
+    managed = materialize(managed_entity_edges(type_refs, symbols), "managed")
     all_managed = managed if seed_managed is None else managed.unionByName(seed_managed.select(*EDGE_COLUMNS))
-    outcomes = call_outcomes(calls, symbols, fields, params, documented_fallback)
+    outcomes = materialize(call_outcomes(calls, symbols, fields, params, documented_fallback), "outcomes")
     parts = [
         inheritance_edges(type_refs, symbols), managed, test_convention_edges(symbols), injection_edges(params, symbols),
         direct_call_edges(outcomes), repository_call_edges(outcomes), entity_access_edges(outcomes, all_managed),

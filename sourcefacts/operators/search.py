@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.tables import materialize
+
 RESULTS, ENDPOINTS, EXCERPT_LINES, MIN_QUERY = 20, 500, 200, 2
-#: Queries that are matched at once; more go in blocks.
-QUERY_BLOCK = 2_000
+#: Characters of the runs by which queries and facts meet.
+GRAM = 3
 LINE_END = r"\r\n|\r|\n"
 
 
@@ -18,22 +20,42 @@ def normalize_queries(queries: DataFrame) -> DataFrame:
     return queries.withColumn("needle", F.lower(F.trim("query"))).where(F.length("needle") >= MIN_QUERY)
 
 
+def _grams(text: Column, size: Column | int) -> Column:
+    """Distinct runs of ``size`` characters; the empty run for size 0."""
+    n = F.length(text)
+    size = F.lit(size) if isinstance(size, int) else size
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, size))
+    return F.when(size == 0, F.array(F.lit(""))).when(n < size, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+
 def _matches(queries: DataFrame, facts: DataFrame, texts: list[Column]) -> DataFrame:
     """Facts of which some text holds the needle; its ``%`` and ``_`` are wildcards.
 
-    A stated set of queries meets all facts in one pass each block: queries
-    are the small side and are sent to the facts by blocks of a fixed size.
+    A needle and a fact meet by a run of characters that the needle shares
+    with hardly any facts: the rarest of the runs of three in the needle's
+    longest part without a wildcard (of two, one or none where that part is
+    shorter). Each needle has one such key and each fact its distinct runs,
+    so a pair meets once and is then compared in full.
     """
-    asked = normalize_queries(queries).select("query", "needle").distinct()
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    parts = F.filter(F.split("needle", r"[%_\\\\]"), lambda x: x != "")
+    longest = F.coalesce(F.element_at(F.array_sort(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"], F.lit(""))
+    asked = normalize_queries(queries).select("query", "needle").distinct().withColumn("_part", F.when(F.size(parts) > 0, longest).otherwise(F.lit("")))
+    asked = materialize(asked.withColumn("_size", F.least(F.length("_part"), F.lit(GRAM))), "asked")
+    runs = asked.select("query", "needle", F.explode(_grams(F.col("_part"), F.col("_size"))).alias("_gram"))
+    sizes = sorted(r[0] for r in asked.select("_size").distinct().collect())  # at most GRAM + 1
+    if not sizes:
+        return facts.join(asked.select("query", "needle"), F.lit(False))
+    lowered = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
+    held = F.array_distinct(F.flatten(F.array(*[_grams(t, k) for t in lowered for k in sizes])))
+    told = facts.select(held.alias("_grams"))
+    counts = told.select(F.explode("_grams").alias("_gram")).join(materialize(runs.select("_gram").distinct(), "runs"), "_gram").groupBy("_gram").agg(F.count("*").alias("_n"))
+    # a run that no fact has makes its needle match nothing, and there the least count is 0
+    keys = runs.join(counts, "_gram", "left").groupBy("query", "needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_k"))
+    keys = materialize(keys.where("_k.n > 0").select("query", "needle", F.col("_k.gram").alias("_gram")), "keys")
+    row = F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("_row")
+    met = facts.select(row, F.explode(held).alias("_gram")).join(keys, "_gram").select("_row.*", "query", "needle")
     pattern = F.concat(F.lit("%"), F.col("needle"), F.lit("%"))
-    hit = reduce(lambda a, b: a | b, [F.like(F.lower(t), pattern) for t in texts])
-    parts = []
-    for k in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
-        parts.append(facts.join(F.broadcast(block), hit))
-    return reduce(DataFrame.unionByName, parts)
+    return met.where(reduce(lambda a, b: a | b, [F.like(F.lower(t), pattern) for t in texts]))
 
 
 def _top(found: DataFrame, order: list, most: int = RESULTS) -> DataFrame:

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.tables import materialize
-from .graph import ranked_edges
+from .graph import ENTITY_KINDS, ranked_edges, traversable
 
 MAX_DEPTH = 8
 NODE_LIMIT, EDGE_LIMIT, EXTERNAL_LIMIT = 100, 250, 20
+#: More than the steps that a level can number (they are counted in 32 bits), so that
+#: the places of two levels are never mixed.
+LEVEL = 1 << 32
 
 
 def _depth(max_depth: int) -> None:
@@ -104,8 +107,8 @@ class Walk:
         )
         placed = materialize(_placed(steps, nodes, edges, totals, self.node_limit, self.edge_limit), "level")
         kept = placed.where("_stop is null or seq < _stop")
-        self.nodes.append(kept.where("is_new").select("root", "repository_id", "node_id", F.lit(depth).alias("depth"), (F.lit(depth * 1_000_000).cast("long") + F.col("seq")).alias("seq")))
-        self.edges.append(kept.where("edge_new").select("root", "repository_id", "edge_id", "source_id", "target_id", "kind", (F.lit(depth * 1_000_000).cast("long") + F.col("seq")).alias("seq")))
+        self.nodes.append(kept.where("is_new").select("root", "repository_id", "node_id", F.lit(depth).alias("depth"), (F.lit(depth * LEVEL).cast("long") + F.col("seq")).alias("seq")))
+        self.edges.append(kept.where("edge_new").select("root", "repository_id", "edge_id", "source_id", "target_id", "kind", (F.lit(depth * LEVEL).cast("long") + F.col("seq")).alias("seq")))
         self.reasons.append(placed.where("_reason is not null").select("root", "repository_id", F.col("_reason").alias("reason")))
         return kept
 
@@ -207,6 +210,12 @@ def blast_radius(roots: DataFrame, edges: DataFrame, endpoints: DataFrame, test_
     return walk
 
 
+def root_entity_edges(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The roots' own accesses to entities, whatever their confidence."""
+    own = roots.select("root", "repository_id", F.col("node_id").alias("source_id")).distinct()
+    return own.join(traversable(edges, ENTITY_KINDS), ["repository_id", "source_id"])
+
+
 def affected_endpoints(reached: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Endpoints that a reached method handles, once for each root."""
     return reached.join(endpoints.select("repository_id", F.col("method_id").alias("node_id"), "endpoint_id"), ["repository_id", "node_id"]).select("root", "repository_id", "endpoint_id", F.concat(F.lit("affected:"), "endpoint_id").alias("edge_id")).distinct()
