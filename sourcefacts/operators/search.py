@@ -28,9 +28,11 @@ def _grams(text: Column, size: Column | int) -> Column:
     return F.when(size == 0, F.array(F.lit(""))).when(n < size, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
 
 
-def _matches(queries: DataFrame, facts: DataFrame, texts: list[Column]) -> DataFrame:
+def _matches(queries: DataFrame, facts: DataFrame, texts: list[Column], covering: list[Column] | None = None) -> DataFrame:
     """Facts of which some text holds the needle; its ``%`` and ``_`` are wildcards.
 
+    ``covering``: fewer texts that hold the others.
+
     A needle and a fact meet by a run of characters that the needle shares
     with hardly any facts: the rarest of the runs of three in the needle's
     longest part without a wildcard (of two, one or none where that part is
@@ -45,7 +47,7 @@ def _matches(queries: DataFrame, facts: DataFrame, texts: list[Column]) -> DataF
     sizes = sorted(r[0] for r in asked.select("_size").distinct().collect())  # at most GRAM + 1
     if not sizes:
         return facts.join(asked.select("query", "needle"), F.lit(False))
-    lowered = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
+    lowered = [F.lower(F.coalesce(t, F.lit(""))) for t in covering or texts]
     held = F.array_distinct(F.flatten(F.array(*[_grams(t, k) for t in lowered for k in sizes])))
     told = facts.select(held.alias("_grams"))
     counts = told.select(F.explode("_grams").alias("_gram")).join(materialize(runs.select("_gram").distinct(), "runs"), "_gram").groupBy("_gram").agg(F.count("*").alias("_n"))
@@ -73,7 +75,7 @@ def search_callables(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     """Functions, methods and constructors by name, signature, qualified name or file. Exact names come first."""
     callables = symbols.where(F.col("kind").isin("FUNCTION", "METHOD", "CONSTRUCTOR")).withColumn("_sig", F.coalesce("signature", F.lit("")))
     texts = [F.col("simple_name"), F.concat("simple_name", "_sig"), F.col("qualified_name"), F.col("_sig"), F.col("relative_path")]
-    found = _matches(queries, callables, texts)
+    found = _matches(queries, callables, texts, [texts[1], texts[2], texts[4]])
     return _top(found, [(F.lower("simple_name") != F.col("needle")).cast("int"), "qualified_name", "start_line", "id"]).select("query", "place", "id", "simple_name", "qualified_name")
 
 
