@@ -70,9 +70,7 @@ class ChunkEncoder:
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         self._model = self._library.model
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        split, lower = made["pre_tokenizer"], made.get("normalizer") is not None
+        split, lower = json.loads(self._library.pre_tokenizer.__getstate__()), self._library.normalizer is not None
         if split["type"] == "ByteLevel":
             from public_tokenizers import PATTERN
         else:
