@@ -76,7 +76,7 @@ class ChunkEncoder:
         else:
             PATTERN = split["pretokenizers"][0]["pattern"]["Regex"]
         self._lower, self._pieces = lower, regex.compile(PATTERN).findall
-        self._one_piece = all(self._pieces(w) == [w] for w in _PLAIN)
+        self._one_piece = all(self._pieces(w) == [w] for w in (p.strip().lower() if lower else p for p in _PLAIN))
         self._letters = _byte_letters()
         self._bytes = [pack("<I", i) for i in range(self._library.get_vocab_size())]
         self._piece = _Memory(self._encode_piece, CACHE_PIECES)
