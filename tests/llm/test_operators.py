@@ -523,6 +523,24 @@ def test_rare_entities_are_disclosed(spark):
     assert clean[0] == "the note of  to [EMAIL]"
 
 
+def test_terms_are_marked_everywhere(spark):
+    rows = [f"report {i} says zorro wrote from zz@mail.org about item{i}" for i in range(6)] + [f"report {i} says somebody wrote about item{i}" for i in range(40)] + ["zorro alone, no address"]
+    found = {r["_row"]["doc_id"]: r["spans"] for r in pii.find_disclosures(docs(spark, *rows), ["doc_id"], everywhere=True).collect()}
+    assert [(s["value"], s["start"], s["action"]) for s in found[46]] == [("zorro", 0, "remove")]
+    assert not any(found[i] for i in range(6, 46))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, *rows), everywhere=True).collect()}
+    assert clean[46] == " alone, no address" and all(clean[i] == rows[i] for i in range(6, 46))
+
+
+def test_hot_rows_are_numbered_in_units(spark, monkeypatch):
+    monkeypatch.setattr(S, "UNIT_ROWS", 7)
+    same = spark.range(100).select((F.col("id") % 2).alias("doc_id"), F.lit("t").alias("text"))
+    rows = S.assign_shards(same, 24).collect()
+    for shard in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+    assert len(rows) == 100
+
+
 # ---- toxicity
 
 
