@@ -95,10 +95,8 @@ class LetterModel:
         two = (pairs + 4 * one[None, :]) / (pairs.sum(axis=1, keepdims=True) + 4)
         three = (tri + 4 * two[None, :, :]) / (tri.sum(axis=2, keepdims=True) + 4)
         self.cost = -np.log(three)
-        self._rows = self.cost.tolist()
-
-    def of(self, a: int, b: int, c: int) -> float:
-        return self._rows[a][b][c]
+        #: costs by the two letters before and the letter
+        self.rows = self.cost.tolist()
 
 
 def letter_model(docs: DataFrame, text_col: str = "text") -> LetterModel:
@@ -158,25 +156,26 @@ def token_lattice(token: str) -> list[Place]:
 
 def decode(places: list[Place], model: LetterModel) -> str:
     """The cheapest reading of a lattice (Viterbi over the last two letters)."""
+    rows = model.rows
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for place in places:
+        readings = [(letters, extra, [0 if x == " " else code_of(x) for x in letters]) for letters, extra in place]
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, out) in best.items():
-            for letters, extra in place:
+            for letters, extra, codes in readings:
                 x, y, total = a, b, cost + extra
-                for letter in letters:
-                    if letter == " ":
-                        if y:
-                            total += model.of(x, y, 0)
-                        x, y = 0, 0
-                    else:
-                        c = code_of(letter)
-                        total += model.of(x, y, c)
+                for c in codes:
+                    if c:
+                        total += rows[x][y][c]
                         x, y = y, c
-                if (x, y) not in nxt or total < nxt[x, y][0]:
+                    else:
+                        total += rows[x][y][0] if y else 0.0
+                        x = y = 0
+                known = nxt.get((x, y))
+                if known is None or total < known[0]:
                     nxt[x, y] = (total, out + letters)
         best = nxt
-    ends = [(cost + (model.of(a, b, 0) if b else 0.0), out) for (a, b), (cost, out) in best.items()]
+    ends = [(cost + (rows[a][b][0] if b else 0.0), out) for (a, b), (cost, out) in best.items()]
     return min(ends)[1] if ends else ""
 
 
@@ -189,8 +188,8 @@ def is_disguised(token: str) -> bool:
     """Signs among letters or alone, or a letter repeated; numbers and whole URLs are not."""
     if token.isalpha():
         return bool(_DOUBLE.search(token))
-    letters = sum(c.isalpha() for c in token)
-    signs = sum(c in LEET for c in token)
+    letters = sum(map(str.isalpha, token))
+    signs = sum(map(LEET.__contains__, token))
     worded = letters >= 1 or any(c in LEET and not c.isdigit() for c in token)
     return worded and letters + signs >= 3 and not _URL.fullmatch(token)
 
@@ -213,14 +212,19 @@ class Restorer:
 
     def words(self, token: str) -> list[str]:
         """Words of one lower-cased token without white space."""
+        if token.isalpha():
+            return [token, *self._read(token)] if is_disguised(token) else [token]
         edge_signs = token if any(c in "$@+!|(<" for c in token[:1] + token[-1:]) else ""
         bare = _bare(token)
         out = [w for w in re.split(r"[^\w]+|_", bare) if w] if not bare.isalpha() else [bare]
         for shape in {bare, _SIGN_RUN.sub("", edge_signs).strip(".,;:?\"'")}:
             if shape and is_disguised(shape):
-                out += [w for piece in pieces(shape) for w in decode(token_lattice(piece), self.model).split(" ") if w]
+                out += [w for piece in pieces(shape) for w in self._read(piece)]
         return out
 
+    def _read(self, piece: str) -> list[str]:
+        return [w for w in decode(token_lattice(piece), self.model).split(" ") if w]
+
     def spaced_words(self, text: str) -> list[str]:
         """Words written letter by letter in a lower-cased text."""
         out = []
