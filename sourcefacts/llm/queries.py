@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard_join, language_id, packing, pii, quality, sharding, token_files, toxicity
+from . import chat, conversations, decontamination, hard_negatives, jaccard_join, language_id, packing, pii, quality, sharding, substrings, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,26 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_blocked_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_cost_to_go_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_noisy_channel, op2_jump_hash_shards, op3_host_rules, op4_cross_parsing, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip,
+    op8_order_filtered_join, op9_token_files, op10_disclosure, op11_blocked_negatives, op12_cost_to_go_repair, op13_rolling_windows,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_noisy_channel, op2_jump_hash_shards, op3_host_rules, op4_cross_parsing, op5_positional_index, op6_cutting_stock, op7_grammar_round_trip, op8_order_filtered_join, op9_token_files, op10_disclosure)}
+    return {f.__name__: f for f in QUERIES}
 
 
 #: What separates the words of the decontamination contract.
@@ -192,6 +210,107 @@ from d left join n using (doc_id) join (select doc_id, min(other) least_id from
 """
 
 
+#: Rows have a number of their own, so that equal rows stay apart.
+OP11_SQL = r"""
+with v as (
+  select row_number() over () r, cast(vec_id as bigint) vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) x
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.r, a.vec_id anchor_id, b.vec_id other_id, a.label = b.label same, cast(list_inner_product(a.x, b.x) as bigint) score
+  from v a join v b on a.r <> b.r where a.vec_id % 100 = 0
+),
+p as (select r, anchor_id, other_id positive_id, score positive_score, row_number() over (partition by r order by score desc, other_id) k from s where same qualify k <= 5),
+n as (
+  select p.*, other_id negative_id, score negative_score, row_number() over (partition by p.r, k order by score desc, other_id) rank
+  from p join s on s.r = p.r and not same and 80 * positive_score <= 100 * score and score <= positive_score qualify rank <= 5
+)
+select anchor_id, positive_id, cast(rank as int) rank, negative_id, positive_score, negative_score from n
+"""
+
+#: The cheapest edits row by row, with up to two rows put in before each; the least letters among equals.
+OP12_SQL = r"""
+with recursive
+bits(b, c, k) as (
+  select i, cast(i as ubigint), 0 from range(256) t(i)
+  union all select b, case when c & 1 = 1 then xor(c >> 1, cast(3988292384 as ubigint)) else c >> 1 end, k + 1 from bits where k < 8
+),
+crc as (select list(c order by b) steps from bits where k = 8),
+keyed as (
+  select cast(conv_id as bigint) conv_id, cast(turn as bigint) turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+    list_transform(regexp_extract_all(hex(encode(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))), '..'), lambda h: cast('0x' || h as ubigint)) bytes
+  from conversations
+),
+parts as (
+  select conv_id, turn, role, text,
+    cast(xor(list_reduce(list_prepend(cast(4294967295 as ubigint), bytes), lambda c, b: xor(c >> 8, steps[cast(xor(c, b) & 255 as bigint) + 1])), cast(4294967295 as ubigint)) as bigint) % 20 k
+  from keyed, crc
+),
+damaged as (
+  select conv_id, turn, case when k = 4 then 'user' else role end role,
+    case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end text
+  from parts, lateral (select unnest(range(case when k = 3 then 2 else 1 end))) where k <> 0
+),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i from damaged),
+faulty as (
+  select *, left(role, 1) ch, lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) pair,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+      when regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') then 't' else '' end fault
+  from placed
+),
+fills(st, role, nxt) as (values ('', 'user', 'u'), ('s', 'user', 'u'), ('u', 'assistant', 'a'), ('a', 'user', 'u')),
+keeps(st, ch) as (values ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+best(conv_id, i, st, cost, audit, said) as (
+  select distinct conv_id, cast(0 as bigint), '', 0, '', cast([] as varchar[]) from damaged
+  union all
+  (
+    with one as (select * from best union all select b.conv_id, b.i, nxt, cost + 3, audit || 'I', list_append(said, role || ':') from best b join fills using (st)),
+    two as (select * from one union all select b.conv_id, b.i, nxt, cost + 3, audit || 'I', list_append(said, role || ':') from one b join fills using (st)),
+    edited as (
+      select t.conv_id, f.i, st, cost + 4 cost, audit || 'D' audit, said from two t join faulty f on t.conv_id is not distinct from f.conv_id and f.i = t.i + 1
+      union all
+      select t.conv_id, f.i, ch, cost + case when fault = 't' then 3 else 0 end, audit || 'K', list_append(said, role || ':' || text)
+      from two t join faulty f on t.conv_id is not distinct from f.conv_id and f.i = t.i + 1 join keeps using (st, ch) where fault not in ('b', 'd')
+      union all
+      select t.conv_id, f.i, nxt, cost + 3 + case when fault = 't' then 3 else 0 end, audit || 'R', list_append(said, fills.role || ':' || text)
+      from two t join faulty f on t.conv_id is not distinct from f.conv_id and f.i = t.i + 1 join fills using (st) where fault not in ('b', 'd')
+    )
+    select * from edited qualify row_number() over (partition by conv_id, st order by cost, audit) = 1
+  )
+),
+ends as (select *, max(i) over (partition by conv_id) n from best),
+one_more as (select * from ends where i = n union all select e.conv_id, i, nxt, cost + 3, audit || 'I', list_append(said, role || ':'), n from ends e join fills using (st) where i = n),
+two_more as (select * from one_more union all select e.conv_id, i, nxt, cost + 3, audit || 'I', list_append(said, role || ':'), n from one_more e join fills using (st)),
+cheapest as (select * from two_more where st in ('', 'a') qualify row_number() over (partition by conv_id order by cost, audit) = 1),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate,
+    count(*) filter (fault = 't') truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) illegal
+  from faulty group by conv_id
+)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  cast(coalesce(cost, 0) as bigint) cost, coalesce(audit, '') audit, sha256(coalesce(array_to_string(said, chr(10)), '')) repaired_sha256
+from (select distinct cast(conv_id as bigint) conv_id from conversations) o
+left join counts c on c.conv_id is not distinct from o.conv_id left join cheapest b on b.conv_id is not distinct from o.conv_id
+"""
+
+OP13_SQL = r"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+places as (select r, doc_id, i, array_to_string(w[i : i + 12], ' ') g from d, lateral (select unnest(range(1, len(w) - 11)) i) where len(w) >= 13),
+least as (select g, min(doc_id) first_id from places group by g),
+gone as (select distinct r, unnest(range(i, i + 13)) p from places join least using (g) where first_id < doc_id),
+words as (select r, unnest(range(1, len(w) + 1)) p, unnest(w) word from d),
+left_over as (select r, string_agg(word, ' ' order by p) kept from words anti join gone using (r, p) group by r),
+counts as (select r, count(*) n from gone group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256
+from d left join counts using (r) left join left_over using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the whole result."""
-    return {"op2_jump_hash_shards": OP2_SQL, "op3_host_rules": OP3_SQL, "op5_positional_index": OP5_SQL, "op7_grammar_round_trip": OP7_SQL, "op8_order_filtered_join": OP8_SQL}
+    return {
+        "op2_jump_hash_shards": OP2_SQL, "op3_host_rules": OP3_SQL, "op5_positional_index": OP5_SQL, "op7_grammar_round_trip": OP7_SQL, "op8_order_filtered_join": OP8_SQL,
+        "op11_blocked_negatives": OP11_SQL, "op12_cost_to_go_repair": OP12_SQL, "op13_rolling_windows": OP13_SQL,
+    }
