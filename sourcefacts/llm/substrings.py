@@ -109,10 +109,12 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
 
 
-#: ``hashes`` ascend and are packed as differences; ``docs`` are above ``least``. A row
-#: without ``docs`` is an answer already: windows of the document ``least``.
-WINDOWS = "part int, least long, hashes binary, docs binary"
-ANSWERS = "doc_id long, hashes binary"
+#: ``hashes`` ascend and are packed as differences; the document of each is ``least`` and
+#: what ``docs`` adds. With a ``group`` these are answers already: windows that a smaller
+#: document has, of documents of that group.
+WINDOWS = "part int, group int, least long, hashes binary, docs binary"
+ANSWERS = "group int, least long, hashes binary, docs binary"
+KNOWN = "_doc long, _hashes binary"
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -126,12 +128,30 @@ def _steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
-def _answers(hashes: np.ndarray, docs: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """The windows of each document, ascending."""
-    order = np.lexsort((hashes, docs))
-    hashes, docs = hashes[order], docs[order]
-    begins = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-    return [(int(docs[b]), hashes[b:e]) for b, e in zip(begins, np.append(begins[1:], len(docs)), strict=True)] if len(docs) else []
+def _packed(hashes: np.ndarray, docs: np.ndarray) -> tuple[int, bytes, bytes]:
+    """``least, hashes, docs`` of windows with ascending hashes."""
+    least = int(docs.min())
+    return least, _pack(_steps(hashes)), _pack(docs.view(np.uint64) - np.int64(least).view(np.uint64))
+
+
+def _unpacked(least: int, hashes: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unpack(hashes), dtype=np.uint64), (_unpack(docs) + np.int64(least).view(np.uint64)).view(np.int64)
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where equal neighbours begin and end."""
+    if not len(values):
+        return iter(())
+    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return zip(begins, np.append(begins[1:], len(values)), strict=True)
+
+
+def _answers(hashes: np.ndarray, docs: np.ndarray, groups: int) -> Iterator[tuple]:
+    """The windows of each group of documents."""
+    group = (_mix(docs.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((hashes, group))
+    hashes, docs, group = hashes[order], docs[order], group[order]
+    return ((int(group[b]), *_packed(hashes[b:e], docs[b:e])) for b, e in _runs(group))
 
 
 def _windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
@@ -151,14 +171,12 @@ def _windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
             least = owner[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             late = owner > least
             late[1:] &= ~((hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1]))  # each once
-            out = [((doc * 0x9E3779B1) % parts, doc, _pack(_steps(h)), None) for doc, h in _answers(hashes[late], owner[late])]
+            out = [(row[0], *row) for row in _answers(hashes[late], owner[late], parts)]
             hashes, least = hashes[fresh], owner[fresh]
             # ranges of equal width; the product of the upper half never overflows
             part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            for b, e in zip(begins, np.append(begins[1:], len(part)), strict=True):
-                base = int(least[b:e].min())
-                out.append((int(part[b]), base, _pack(_steps(hashes[b:e])), _pack(least[b:e].view(np.uint64) - np.int64(base).view(np.uint64))))
+            for b, e in _runs(part):
+                out.append((int(part[b]), None, *_packed(hashes[b:e], least[b:e])))
                 if len(out) >= 256:
                     yield _batch(out, WINDOWS)
                     out = []
@@ -180,40 +198,54 @@ def _windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
     return docs.mapInArrow(send, WINDOWS)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """Answers to the windows of each range of hashes, of rows sorted by range."""
-    part, hashes, docs = None, [], []
+    part, held = None, []
 
     def told() -> Iterator[pa.RecordBatch]:
-        h, d = np.concatenate(hashes), np.concatenate(docs)
+        h, d = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
         fresh = np.concatenate([[True], h[1:] != h[:-1]])
         late = d > d[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         late[1:] &= fresh[1:] | (d[1:] != d[:-1])
-        out = []
-        for doc, found in _answers(h[late], d[late]):
-            out.append((doc, _pack(_steps(found))))
-            if len(out) >= 1000:
-                yield _batch(out, ANSWERS)
-                out = []
-        yield _batch(out, ANSWERS)
+        yield _batch(list(_answers(h[late], d[late], groups)), ANSWERS)
 
     for batch in batches:
-        for name, least, packed, owners in zip(*(batch.column(c).to_pylist() for c in ("part", "least", "hashes", "docs")), strict=True):
-            if owners is None:
-                yield _batch([(least, packed)], ANSWERS)
+        for name, group, *packed in zip(*(batch.column(c).to_pylist() for c in ("part", "group", "least", "hashes", "docs")), strict=True):
+            if group is not None:
+                yield _batch([(group, *packed)], ANSWERS)
                 continue
-            if hashes and name != part:
+            if held and name != part:
                 yield from told()
-                hashes, docs = [], []
+                held = []
             part = name
-            hashes.append(np.cumsum(_unpack(packed), dtype=np.uint64))
-            docs.append((_unpack(owners) + np.int64(least).view(np.uint64)).view(np.int64))
-    if hashes:
+            held.append(_unpacked(*packed))
+    if held:
         yield from told()
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each document, of answers sorted by group."""
+    group, held = None, []
+
+    def told() -> pa.RecordBatch:
+        h, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((h, d))
+        h, d = h[order], d[order]
+        return _batch([(int(d[b]), _pack(_steps(np.unique(h[b:e])))) for b, e in _runs(d)], KNOWN)
+
+    for batch in batches:
+        for name, *packed in zip(*(batch.column(c).to_pylist() for c in ("group", "least", "hashes", "docs")), strict=True):
+            if held and name != group:
+                yield told()
+                held = []
+            group = name
+            held.append(_unpacked(*packed))
+    if held:
+        yield told()
+
+
 def maximal_intervals(marked: np.ndarray, window: int) -> np.ndarray:
     """Begin and end of the longest runs of words that marked windows cover, from where these begin."""
     if not len(marked):
@@ -222,17 +254,17 @@ def maximal_intervals(marked: np.ndarray, window: int) -> np.ndarray:
     return np.stack([marked[np.concatenate([[0], apart + 1])], marked[np.append(apart, len(marked) - 1)] + window], axis=1)
 
 
-def _spans(window: int, packed: list[bytes], text: np.ndarray) -> np.ndarray:
-    known = np.concatenate([np.cumsum(_unpack(p), dtype=np.uint64) for p in packed])
+def _spans(window: int, packed: bytes, text: np.ndarray) -> np.ndarray:
+    known = np.cumsum(_unpack(packed), dtype=np.uint64)
     found = window_hashes(word_hashes(text), window)
     return maximal_intervals(np.flatnonzero(np.isin(found, known)), window)
 
 
-SPANS = "n_words long, removed array<array<long>>, kept string"
+SPANS = "had_text boolean, n_words long, removed array<array<long>>, kept string"
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` in ``row`` and ``doc_id, n_words, removed, kept``.
+    """All columns of ``docs`` but the text in ``row``, and ``doc_id, had_text, n_words, removed, kept``.
 
     A word goes when it is in a window whose words also stand in a document of
     a smaller ``doc_id``, as the documents came. ``removed`` are the maximal
@@ -244,14 +276,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Words are bytes and are not changed. An empty table gives no rows.
     """
     text = F.col("text").cast("string").cast("binary")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     named = rows.select("doc_id", "text").where("doc_id is not null and text is not null")
-    # a word and its space are two bytes at least; this only sets how many ranges there are
+    # a word and its space are mostly six bytes or more; this only sets how many ranges and groups there are
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (6 * RANGE)))
     sent = _windows(named, window, parts)
-    answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, ANSWERS)
-    known = materialize(answers.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("hashes").alias("_hashes")), "repeats")
+    answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _repeated(it, parts), ANSWERS)
+    known = materialize(answers.repartition("group").sortWithinPartitions("group").mapInArrow(_by_document, KNOWN), "repeats")
     joined = rows.join(known.hint("merge"), F.col("doc_id") == F.col("_doc"), "left").select("row", "doc_id", "text", "_hashes")
     shape = joined.select("row", "doc_id").schema
 
@@ -267,7 +300,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     begins, ends = [0, *[e for _, e in gone]], [*[b for b, _ in gone], len(words)]
                     words = [w for b, e in zip(begins, ends, strict=True) for w in words[b:e]]
                 kept.append(b" ".join(words))
-            columns = [batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()).cast(pa.string())]
+            columns = [batch.column("row"), batch.column("doc_id"), batch.column("text").is_valid(), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", *[f.split()[0] for f in SPANS.split(", ")]])
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shape.fields)
@@ -277,7 +310,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with what is left of their texts, columns as they are; a null text stays null."""
     out = remove_repeats(docs, window)
-    left = lambda c: F.when(F.col("row")[c].isNotNull(), F.col("kept")).alias(c) if c == "text" else F.col("row")[c].alias(c)
+    left = lambda c: F.when(F.col("had_text"), F.col("kept")).alias(c) if c == "text" else F.col("row")[c].alias(c)
     return out.select(*[left(c) for c in docs.columns])
 
 
