@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import shared_dir
 from ..operators import reindex as I, search as S
-from ..sources import java_files as J
+from ..sources import index_store as X, java_files as J
 from .proxy import fact, oracle
 from .resolve_queries import symbols
 
@@ -70,10 +70,10 @@ def a6_stored_index(spark, sf_dir):
     """An index is stored, then some repositories come again: one table smaller, one without any row."""
     path = shared_dir(spark, "stored-index")
     names, callers = symbols(spark, sf_dir).select("repository_id", "id", "kind"), edges(spark, sf_dir).select("repository_id", "id", "kind")
-    J.write_index({"symbols": names, "relationships": callers}, path)
+    X.write_index({"symbols": names, "relationships": callers}, path)
     again = F.col("repository_id") % 5 == 0
-    J.write_index({"symbols": names.where(again & (F.col("kind") != "METHOD")), "relationships": callers.where("false")}, path, names.where(again).select("repository_id").distinct())
-    back = J.read_index(spark, path, ["symbols", "relationships"])
+    X.write_index({"symbols": names.where(again & (F.col("kind") != "METHOD")), "relationships": callers.where("false")}, path, names.where(again).select("repository_id").distinct())
+    back = X.read_index(spark, path, ["symbols", "relationships"])
     return back["symbols"].withColumn("what", F.lit("symbol")).unionByName(back["relationships"].withColumn("what", F.lit("edge")))
 
 

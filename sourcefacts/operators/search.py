@@ -12,6 +12,10 @@ from ..functions.tables import materialize
 RESULTS, ENDPOINTS, EXCERPT_LINES, MIN_QUERY = 20, 500, 200, 2
 #: Characters of the runs by which queries and facts meet.
 GRAM = 3
+#: Lines of a part of a file whose ranges are answered together.
+RANGE_LINES = 500
+#: Tasks over which the postings of one run are spread.
+SPREAD = 16
 LINE_END = r"\r\n|\r|\n"
 
 
@@ -20,72 +24,155 @@ def normalize_queries(queries: DataFrame) -> DataFrame:
     return queries.withColumn("needle", F.lower(F.trim("query"))).where(F.length("needle") >= MIN_QUERY)
 
 
-def _grams(text: Column, size: Column | int) -> Column:
-    """Distinct runs of ``size`` characters; the empty run for size 0."""
-    n = F.length(text)
-    size = F.lit(size) if isinstance(size, int) else size
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, size))
-    return F.when(size == 0, F.array(F.lit(""))).when(n < size, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+def like_pattern(needle: Column) -> Column:
+    """The pattern of a needle anywhere in a text: ``%`` and ``_`` are wildcards, a backslash takes the next character as it is.
 
+    Spark knows a backslash before a wildcard or another one only, so others
+    are left out. One at the end makes the closing ``%`` a character.
+    """
+    return F.regexp_replace(F.concat(F.lit("%"), needle, F.lit("%")), r"(?s)(\\[%_\\])|\\(.)", "$1$2")
+
+
+def _windows(text: Column) -> Column:
+    """The distinct runs of up to ``GRAM`` characters, one from each place; at the end they are shorter."""
+    text = F.lower(F.coalesce(text, F.lit("")))
+    at = F.sequence(F.lit(1), F.length(text))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(GRAM)))))
+
+
+def _file(name: str = "relative_path") -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def postings(facts: DataFrame, own: list[Column], shared: list[Column]) -> DataFrame:
+    """``repository_id, relative_path, gram, id``: where each run of three characters stands.
+
+    ``own`` texts give a row for each fact, ``shared`` ones, which all facts of
+    a file have alike, a row without ``id`` for each file. The empty run
+    stands for every file. Rows belong to files, so the table can be stored
+    and merged with the facts it is made from.
+    """
+    files = facts.select("repository_id", _file().alias("relative_path"), F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in shared]).alias("_texts")).distinct()
+    everywhere = F.concat(F.array(F.lit("")), F.flatten(F.transform("_texts", _windows)))
+    parts = [files.select("repository_id", "relative_path", F.explode(F.array_distinct(everywhere)).alias("gram"), F.lit(None).cast("string").alias("id"))]
+    if own:
+        grams = F.array_distinct(F.flatten(F.array(*map(_windows, own))))
+        parts.append(facts.select("repository_id", _file().alias("relative_path"), F.explode(grams).alias("gram"), F.col("id").cast("string").alias("id")))
+    return reduce(DataFrame.unionByName, parts)
 
-def _matches(queries: DataFrame, facts: DataFrame, texts: list[Column], covering: list[Column] | None = None) -> DataFrame:
-    """Facts of which some text holds the needle; its ``%`` and ``_`` are wildcards.
 
-    ``covering``: fewer texts that hold the others.
+def _keys(queries: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``query, needle`` as asked, and ``needle, gram``: the runs by which a needle's facts are found.
 
-    A needle and a fact meet by a run of characters that the needle shares
-    with hardly any facts: the rarest of the runs of three in the needle's
-    longest part without a wildcard (of two, one or none where that part is
-    shorter). Each needle has one such key and each fact its distinct runs,
-    so a pair meets once and is then compared in full.
+    Of a needle's longest part without a wildcard that is the run that is
+    written down least often; where the part is shorter than a run, all runs
+    that begin with it; where there is no such part, the empty run.
     """
-    parts = F.filter(F.split("needle", r"[%_\\\\]"), lambda x: x != "")
-    longest = F.coalesce(F.element_at(F.array_sort(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"], F.lit(""))
+    parts = F.filter(F.split("needle", r"[%_\\]"), lambda x: x != "")
+    longest = F.element_at(F.array_sort(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
     asked = normalize_queries(queries).select("query", "needle").distinct().withColumn("_part", F.when(F.size(parts) > 0, longest).otherwise(F.lit("")))
-    asked = materialize(asked.withColumn("_size", F.least(F.length("_part"), F.lit(GRAM))), "asked")
-    runs = asked.select("query", "needle", F.explode(_grams(F.col("_part"), F.col("_size"))).alias("_gram"))
-    sizes = sorted(r[0] for r in asked.select("_size").distinct().collect())  # at most GRAM + 1
-    if not sizes:
-        return facts.join(asked.select("query", "needle"), F.lit(False))
-    lowered = [F.lower(F.coalesce(t, F.lit(""))) for t in covering or texts]
-    held = F.array_distinct(F.flatten(F.array(*[_grams(t, k) for t in lowered for k in sizes])))
-    told = facts.select(held.alias("_grams"))
-    counts = told.select(F.explode("_grams").alias("_gram")).join(materialize(runs.select("_gram").distinct(), "runs"), "_gram").groupBy("_gram").agg(F.count("*").alias("_n"))
-    # a run that no fact has makes its needle match nothing, and there the least count is 0
-    keys = runs.join(counts, "_gram", "left").groupBy("query", "needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_k"))
-    keys = materialize(keys.where("_k.n > 0").select("query", "needle", F.col("_k.gram").alias("_gram")), "keys")
-    row = F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("_row")
-    met = facts.select(row, F.explode(held).alias("_gram")).join(keys, "_gram").select("_row.*", "query", "needle")
-    pattern = F.concat(F.lit("%"), F.col("needle"), F.lit("%"))
-    return met.where(reduce(lambda a, b: a | b, [F.like(F.lower(t), pattern) for t in texts]))
-
-
-def _top(found: DataFrame, order: list, most: int = RESULTS) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("query").orderBy(*order))
-    return found.withColumn("place", place.cast("long")).where(F.col("place") <= most)
+    asked = materialize(asked, "asked")
+    needles = asked.select("needle", "_part").distinct()
+    at = F.sequence(F.lit(1), F.length("_part") - (GRAM - 1))
+    long = needles.where(F.length("_part") >= GRAM).select("needle", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("_part", i, F.lit(GRAM))))).alias("gram"))
+    counts = table.join(materialize(long.select("gram").distinct(), "runs"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_n"))
+    # a run that stands nowhere has the least count, 0, and its needle finds nothing
+    rarest = long.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("gram").alias("gram"))).alias("_k"))
+    found = rarest.where("_k.n > 0").select("needle", F.col("_k.gram").alias("gram"))
+    short = needles.where((F.length("_part") > 0) & (F.length("_part") < GRAM))
+    beginnings = short.select(F.col("_part").alias("_begin")).distinct()
+    known = table.select("gram").distinct().withColumn("_begin", F.explode(F.array(*[F.substring("gram", 1, n) for n in range(1, GRAM)]))).join(beginnings, "_begin", "left_semi").distinct()
+    found = found.unionByName(short.join(known, short["_part"] == known["_begin"]).select("needle", "gram"))
+    found = found.unionByName(needles.where("_part = ''").select("needle", F.lit("").alias("gram")))
+    return asked.select("query", "needle"), materialize(found.distinct(), "keys")
+
+
+def _matches(queries: DataFrame, facts: DataFrame, own: list[Column], shared: list[Column], table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Facts of which some text holds a needle, with that ``needle``, and ``query, needle`` as asked.
+
+    ``table``: the stored ``postings`` of the facts; made here when there are
+    none. Needles and postings meet by run; the postings of one run lie over
+    several tasks. What they name is then compared in full: by a file's row
+    when a shared text holds the needle, by a fact's own row when only an own
+    one does, so no fact comes twice; the empty run is a file's alone.
+    """
+    table = materialize(postings(facts, own, shared), "postings") if table is None else table
+    asked, keys = _keys(queries, table)
+    salt = lambda: F.pmod(F.xxhash64("relative_path", "id"), F.lit(SPREAD))
+    spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    named = table.withColumn("_salt", salt()).join(spread, ["gram", "_salt"]).select("needle", (F.col("gram") == "").alias("_all"), "repository_id", "relative_path", "id").distinct()
+    named = materialize(named.select("needle", "_all", F.col("repository_id").alias("_r"), F.col("relative_path").alias("_p"), F.col("id").alias("_i")), "named")
+    holds = lambda texts: reduce(lambda a, b: a | b, [F.like(F.lower(F.coalesce(t, F.lit(""))), like_pattern(F.col("needle"))) for t in texts])
+    columns = [F.col(f"`{c}`") for c in facts.columns]
+    by_file = facts.join(named.where("_i is null"), (F.col("repository_id") == F.col("_r")) & (_file() == F.col("_p"))).where((holds(shared) | (F.col("_all") & holds(own))) if own else holds(shared))
+    if not own:
+        return by_file.select(*columns, "needle"), asked
+    by_id = facts.join(named.where("_i is not null"), (F.col("repository_id") == F.col("_r")) & (F.col("id").cast("string") == F.col("_i"))).where(holds(own) & ~holds(shared))
+    return by_file.select(*columns, "needle").unionByName(by_id.select(*columns, "needle")), asked
+
+
+def _top(found: tuple[DataFrame, DataFrame], order: list, most: int = RESULTS) -> DataFrame:
+    """The first facts of each needle, for every query that asks for it."""
+    rows, asked = found
+    place = F.row_number().over(W.partitionBy("needle").orderBy(*order))
+    return rows.withColumn("place", place.cast("long")).where(F.col("place") <= most).join(asked, "needle")
+
+
+def _endpoint_texts() -> tuple[list[Column], list[Column]]:
+    return [F.col(c) for c in ("path", "http_method", "method_name", "controller")], [F.col("relative_path")]
+
 
+def _callable_texts() -> tuple[list[Column], list[Column]]:
+    # name and signature together hold each of them
+    return [F.concat("simple_name", F.coalesce("signature", F.lit(""))), F.col("qualified_name")], [F.col("relative_path")]
 
-def search_endpoints(queries: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """``endpoints``: id, http_method, path, method_name, controller, relative_path. Exact paths come first."""
-    found = _matches(queries, endpoints, [F.col(c) for c in ("path", "http_method", "method_name", "controller", "relative_path")])
+
+def _file_texts() -> tuple[list[Column], list[Column]]:
+    return [], [F.col("relative_path"), F.col("package_name")]
+
+
+def _callables(symbols: DataFrame) -> DataFrame:
+    return symbols.where(F.col("kind").isin("FUNCTION", "METHOD", "CONSTRUCTOR"))
+
+
+def endpoint_postings(endpoints: DataFrame) -> DataFrame:
+    return postings(endpoints, *_endpoint_texts())
+
+
+def callable_postings(symbols: DataFrame) -> DataFrame:
+    return postings(_callables(symbols), *_callable_texts())
+
+
+def source_file_postings(files: DataFrame) -> DataFrame:
+    return postings(files, *_file_texts())
+
+
+def search_endpoints(queries: DataFrame, endpoints: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """``endpoints``: repository_id, id, http_method, path, method_name, controller, relative_path. Exact paths come first.
+
+    ``table``: stored ``endpoint_postings``.
+    """
+    found = _matches(queries, endpoints, *_endpoint_texts(), table)
     return _top(found, [(F.lower("path") != F.col("needle")).cast("int"), "path", "http_method", "id"]).select("query", "place", "id", "http_method", "path")
 
 
-def search_callables(queries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Functions, methods and constructors by name, signature, qualified name or file. Exact names come first."""
-    callables = symbols.where(F.col("kind").isin("FUNCTION", "METHOD", "CONSTRUCTOR")).withColumn("_sig", F.coalesce("signature", F.lit("")))
-    texts = [F.col("simple_name"), F.concat("simple_name", "_sig"), F.col("qualified_name"), F.col("_sig"), F.col("relative_path")]
-    found = _matches(queries, callables, texts, [texts[1], texts[2], texts[4]])
+def search_callables(queries: DataFrame, symbols: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Functions, methods and constructors by name, signature, qualified name or file. Exact names come first.
+
+    ``table``: stored ``callable_postings``.
+    """
+    found = _matches(queries, _callables(symbols), *_callable_texts(), table)
     return _top(found, [(F.lower("simple_name") != F.col("needle")).cast("int"), "qualified_name", "start_line", "id"]).select("query", "place", "id", "simple_name", "qualified_name")
 
 
-def search_files(queries: DataFrame, files: DataFrame) -> DataFrame:
-    """Files by path or package: exact path, then beginning, then the rest."""
-    found = _matches(queries, files, [F.col("relative_path"), F.coalesce("package_name", F.lit(""))])
+def search_files(queries: DataFrame, files: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Files by path or package: exact path, then beginning, then the rest. ``table``: stored ``source_file_postings``."""
+    found = _matches(queries, files, *_file_texts(), table)
     low = F.lower("relative_path")
     rank = F.when(low == F.col("needle"), 0).when(low.startswith(F.col("needle")), 1).otherwise(2)
     detail = F.coalesce(F.nullif("package_name", F.lit("")), F.nullif("module_name", F.lit("")), F.col("source_set"))
-    return _top(found.withColumn("_rank", rank), ["_rank", "relative_path", "repository_id"]).select("query", "place", "repository_id", "relative_path", detail.alias("detail"))
+    rows = found[0].withColumn("_rank", rank), found[1]
+    return _top(rows, ["_rank", "relative_path", "repository_id"]).select("query", "place", "repository_id", "relative_path", detail.alias("detail"))
 
 
 def list_endpoints(endpoints: DataFrame, search: str = "", most: int = ENDPOINTS) -> DataFrame:
@@ -107,17 +194,28 @@ def lines_of(content: Column) -> Column:
 def source_excerpts(ranges: DataFrame, files: DataFrame) -> DataFrame:
     """Lines ``start_line``..``end_line`` of files, or why there are none.
 
-    A text is split once for each range; ranges meet their file by path.
+    Ranges of one part of a file are asked for together, each different one
+    once, so that a text is split once for all of them, however many ask.
     """
+    place = ["repository_id", "relative_path", "start_line", "end_line"]
+    part = lambda c: F.floor(F.col(c) / RANGE_LINES)
+    asked = ranges.select(*place).distinct()
+    together = asked.groupBy("repository_id", "relative_path", part("start_line").alias("_a"), part("end_line").alias("_b")).agg(F.collect_list(F.struct("start_line", "end_line")).alias("_ranges"))
     held = files.select("repository_id", "relative_path", lines_of(F.col("content")).alias("_lines"))
-    joined = ranges.join(held, ["repository_id", "relative_path"], "left")
-    start, end = F.col("start_line"), F.col("end_line")
-    status = (
-        F.when(F.col("_lines").isNull(), "NO_FILE").when((start < 1) | (end < start) | (end > F.size("_lines")), "BAD_RANGE")
-        .when(end - start + 1 > EXCERPT_LINES, "TOO_LONG").otherwise("OK")
-    )
-    out = joined.withColumn("status", status)
-    return out.withColumn("excerpt", F.when(F.col("status") == "OK", F.array_join(F.slice("_lines", F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0))), "\n"))).drop("_lines")
+    joined = together.join(held, ["repository_id", "relative_path"], "left")
+
+    def answer(r: Column) -> Column:
+        start, end = r["start_line"], r["end_line"]
+        status = (
+            F.when(F.col("_lines").isNull(), "NO_FILE").when((start < 1) | (end < start) | (end > F.size("_lines")), "BAD_RANGE")
+            .when(end - start + 1 > EXCERPT_LINES, "TOO_LONG").otherwise("OK")
+        )
+        lines = F.slice("_lines", F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0)))
+        return F.struct(start.alias("_start"), end.alias("_end"), status.alias("status"), F.when(status == "OK", F.array_join(lines, "\n")).alias("excerpt"))
+
+    told = joined.select(F.col("repository_id").alias("_r"), F.col("relative_path").alias("_p"), F.explode(F.transform("_ranges", answer)).alias("_x")).select("_r", "_p", "_x.*")
+    same = (F.col("repository_id") == F.col("_r")) & (F.col("relative_path") == F.col("_p")) & F.col("start_line").eqNullSafe(F.col("_start")) & F.col("end_line").eqNullSafe(F.col("_end"))
+    return ranges.join(told, same, "left").select(*ranges.columns, F.coalesce("status", F.lit("NO_FILE")).alias("status"), "excerpt")
 
 
 def clamp_range(start: Column, end: Column, lines: int = 120) -> Column:
