@@ -228,13 +228,15 @@ class Restorer:
     def spaced_words(self, text: str) -> list[str]:
         """Words written letter by letter in a lower-cased text."""
         out = []
+        size = 4 * MAX_PLACES
         for m in _SPACED.finditer(text):
             shape = m.group()
-            while shape:  # a long run is read in lattices of bounded size
-                places = lattice(shape[: 4 * MAX_PLACES], spaced=True)
+            # a long run is read in lattices of bounded size that overlap by half, so that a
+            # word of up to ``2 * MAX_PLACES`` characters is whole in one of them
+            for i in range(0, max(len(shape) - size // 2, 1), size // 2):
+                places = lattice(shape[i : i + size], spaced=True)
                 joined = [[r for r in place if r[0] != " "] for place in places]
                 out += [w for reading in (places, joined) for w in decode(reading, self.model).split(" ") if len(w) > 2]
-                shape = shape[4 * MAX_PLACES :]
         return out
 
     def restore(self, text: str) -> str:
