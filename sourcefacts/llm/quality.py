@@ -22,8 +22,9 @@ WINDOW = 5
 NO_SYMBOLS = "[^#*$%&|<>]+"
 #: A host is rejected when its shrunk rate of rejected documents is above this.
 HOST_RATE = 0.5
-#: A doubt rejects a document of a host whose shrunk rate of this doubt is above this.
-DOUBT_RATE = 0.02
+#: A doubt counts in a host whose rate of it is, all but surely, above that of all
+#: documents by this factor: by so many deviations of what is known of the rate.
+DOUBT_FACTOR, DOUBT_DEVIATIONS = 1.25, 2.0
 #: Doubts: repeated lines are more than this many percent of the lines with a word,
 #: or there are more symbols than words.
 MAX_DUP_PERCENT = 30
@@ -87,36 +88,41 @@ def host_of(docs: DataFrame, host: Column | None = None) -> DataFrame:
 
 
 def host_rates(counted: DataFrame) -> DataFrame:
-    """``_host, n`` and, for each rule, ``rate_<rule>``: its failure rate shrunk to the prior of all hosts.
+    """``_host, n`` and, for each rule, ``rate_<rule>``, its failure rate shrunk to the prior of all hosts,
+    and ``often_<rule>``: whether the rate is surely above that of all documents.
 
     The prior of a rule is a beta distribution fitted by moments to the rates
     of the hosts. Where they don't vary beyond chance, all hosts have the
-    common rate; where they vary as much as rates can, a host's own documents
-    count for all but one pseudo document.
+    common rate, and none is above it; where they vary as much as rates can, a
+    host's own documents count for all but one pseudo document. What is known
+    of a host's rate is again a beta distribution; its mean less twice its
+    deviation must be above the common rate with a margin.
     """
     hosts = counted.groupBy("_host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES])
     share = lambda r: F.col(r) / F.col("n")
     # one row of a few numbers
     moments = hosts.agg(F.avg(1 / F.col("n")).alias("inverse"), *[c for r in RULES for c in ((F.sum(r) / F.sum("n")).alias(f"mean_{r}"), F.var_samp(share(r)).alias(f"var_{r}"))]).first()
 
-    def rate(rule: str) -> Column:
+    def columns(rule: str) -> list[Column]:
         mean, variance = moments[f"mean_{rule}"] or 0.0, moments[f"var_{rule}"] or 0.0
         chance = mean * (1 - mean)
         between = variance - chance * (moments["inverse"] or 0.0)
         if between <= 0:
-            return F.lit(float(mean))
+            return [F.lit(float(mean)).alias(f"rate_{rule}"), F.lit(False).alias(f"often_{rule}")]
         strength = max(chance / between - 1, 1.0)
-        return (F.col(rule) + strength * mean) / (F.col("n") + strength)
+        rate = (F.col(rule) + strength * mean) / (F.col("n") + strength)
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1))
+        return [rate.alias(f"rate_{rule}"), (rate - DOUBT_DEVIATIONS * deviation > DOUBT_FACTOR * mean).alias(f"often_{rule}")]
 
-    return hosts.select("_host", "n", *[rate(r).alias(f"rate_{r}") for r in RULES])
+    return hosts.select("_host", "n", *[c for r in RULES for c in columns(r)])
 
 
-def with_verdicts(counted: DataFrame, host_rate: float = HOST_RATE, doubt_rate: float = DOUBT_RATE) -> DataFrame:
+def with_verdicts(counted: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     """Adds ``host_rate`` and ``kept`` to a table of rule counts with ``_host``.
 
     A document is kept when it passes the base rules, its host is not
-    rejected, and it raises no doubt that its host often raises. A rate that
-    is just the limit is not above it. The table of hosts is written, so that
+    rejected, and it raises no doubt that its host raises more often than
+    others do. A rate that is just the limit is not above it. The table of hosts is written, so that
     Spark sees its size: a small one goes to all tasks, else hosts are joined
     by shuffle, where Spark splits a hot host.
     """
@@ -124,8 +130,8 @@ def with_verdicts(counted: DataFrame, host_rate: float = HOST_RATE, doubt_rate:
     joined = counted.join(rates, "_host", "left").withColumnRenamed("rate_base_failed", "host_rate")
     kept = ~F.col("base_failed") & (F.col("host_rate") <= host_rate)
     for rule in RULES[1:]:
-        kept = kept & ~(F.col(rule) & (F.col(f"rate_{rule}") > doubt_rate))
-    return joined.withColumn("kept", kept).drop("_host", *[f"rate_{r}" for r in RULES[1:]])
+        kept = kept & ~(F.col(rule) & F.col(f"often_{rule}"))
+    return joined.withColumn("kept", kept).drop("_host", "often_base_failed", *[f"{x}_{r}" for r in RULES[1:] for x in ("rate", "often")])
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

@@ -131,13 +131,18 @@ hosts as (
 ),
 m as (select rule, sum(f) / sum(n) mean, coalesce(var_samp(f / n), 0) v, avg(1 / n) inv from hosts group by rule),
 s as (select rule, mean, mean * (1 - mean) c, v - mean * (1 - mean) * inv between_hosts from m),
-rates as (
-  select host, rule, case when between_hosts <= 0 then mean else (f + greatest(c / between_hosts - 1, 1) * mean) / (n + greatest(c / between_hosts - 1, 1)) end rate
-  from hosts join s using (rule)
+k as (select *, greatest(c / between_hosts - 1, 1) k from s),
+shrunk as (
+  select host, rule, n, mean, between_hosts, k, case when between_hosts <= 0 then mean else (f + k * mean) / (n + k) end rate from hosts join k using (rule)
 ),
-r as (pivot rates on rule in ('base_failed', 'many_dup_lines', 'many_symbols') using max(rate) group by host)
+r as (
+  select host, max(rate) filter (rule = 'base_failed') base_rate,
+    bool_or(between_hosts > 0 and rate - 2.0 * sqrt(rate * (1 - rate) / (n + k + 1)) > 1.25 * mean) filter (rule = 'many_dup_lines') often_dup,
+    bool_or(between_hosts > 0 and rate - 2.0 * sqrt(rate * (1 - rate) / (n + k + 1)) > 1.25 * mean) filter (rule = 'many_symbols') often_symbols
+  from shrunk group by host
+)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b.base_failed,
-  not b.base_failed and r.base_failed <= 0.5 and not (b.many_dup_lines and r.many_dup_lines > 0.02) and not (b.many_symbols and r.many_symbols > 0.02) kept,
+  not b.base_failed and base_rate <= 0.5 and not (b.many_dup_lines and often_dup) and not (b.many_symbols and often_symbols) kept,
   b.many_dup_lines, b.many_symbols
 from b join r using (host)
 """

@@ -111,7 +111,7 @@ def verdicts_by_hand(rows):
     hosts = {}
     for i, (h, *_) in counts.items():
         hosts.setdefault(h, []).append(failed[i])
-    rates = {}
+    rates, often = {}, set()
     for k in range(3):
         each = {h: (sum(f[k] for f in v), len(v)) for h, v in hosts.items()}
         mean = sum(f for f, _ in each.values()) / sum(n for _, n in each.values())
@@ -121,7 +121,9 @@ def verdicts_by_hand(rows):
         strength = max(chance / between - 1, 1.0) if between > 0 else None
         for h, (f, n) in each.items():
             rates[h, k] = mean if strength is None else (f + strength * mean) / (n + strength)
-    return {i for i, (h, *_) in counts.items() if not failed[i][0] and rates[h, 0] <= 0.5 and not any(failed[i][k] and rates[h, k] > 0.02 for k in (1, 2))}
+            if strength is not None and rates[h, k] - 2 * np.sqrt(rates[h, k] * (1 - rates[h, k]) / (n + strength + 1)) > 1.25 * mean:
+                often.add((h, k))
+    return {i for i, (h, *_) in counts.items() if not failed[i][0] and rates[h, 0] <= 0.5 and not any(failed[i][k] and (h, k) in often for k in (1, 2))}
 
 
 def test_host_verdicts(spark):
@@ -142,6 +144,21 @@ def test_host_verdicts(spark):
     assert not kept & set(range(300, 360)) and 361 not in kept and 360 in kept
 
 
+def test_doubts_are_forgiven_where_hosts_are_alike(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda sign: " ".join(word() + sign for _ in range(30))
+    alike = [(i, f"h{i % 4}", text("%%%" if i // 4 % 10 == 0 else "")) for i in range(400)]
+    table = lambda rows: spark.createDataFrame([(i, t, "en", h, 1) for i, h, t in rows], DOCS)
+    assert Q.quality_report(table(alike)).where("not kept").count() == 0 and len(verdicts_by_hand(alike)) == 400
+    # the same doubts, but one host has most of them
+    apart = [(i, "h0" if "%" in t and i % 7 else f"h{1 + i % 3}", t) for i, h, t in alike] + [(1000 + i, "h0", text("")) for i in range(60)]
+    kept = {r["doc_id"] for r in Q.quality_report(table(apart)).where("kept").collect()}
+    assert kept == verdicts_by_hand(apart)
+    gone = {i for i, h, t in apart if h == "h0" and "%" in t}
+    assert gone and kept == {i for i, *_ in apart} - gone
+
+
 def test_rules_keep_clashing_columns(spark):
     odd = docs(spark, "a b c d e f g h i j k l").withColumn("n_words", F.lit("mine")).withColumn("_host", F.lit(1)).withColumn("kept", F.lit(2))
     out = Q.keep_good(odd)
