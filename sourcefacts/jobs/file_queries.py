@@ -48,6 +48,13 @@ def type_changes(spark, sf_dir):
     return fact(spark, sf_dir, "types").where("kind = 'ENUM'").select("repository_id", "relative_path")
 
 
+def a1_read_source_tree(spark, sf_dir):
+    """Java texts are written as a tree of files and read back."""
+    root = shared_dir(spark, "source-tree")
+    J.write_source_tree(fact(spark, sf_dir, "java_files"), root)
+    return J.read_source_tree(spark, root).select("repository_id", "relative_path", F.sha2("content", 256).alias("content_hash"), "is_text")
+
+
 def a2_filter_source_paths(spark, sf_dir):
     return J.filter_source_paths(files(spark, sf_dir)).select("repository_id", "relative_path")
 
@@ -170,6 +177,7 @@ STEPS = {
       from (select repository_id, count(*) n from affected group by 1) a join (select repository_id, count(*) n from types group by 1) t using (repository_id)""",
 }
 ORACLES = {
+    "a1_read_source_tree": oracle("select repository_id, relative_path, sha256(content) content_hash, true is_text from java_files"),
     "a2_filter_source_paths": oracle("select repository_id, relative_path from kept", STEPS),
     "a3_describe_files": oracle("select * from told", STEPS),
     "a4_source_limit_violations": oracle("""select repository_id, relative_path, 'FILE_TOO_LARGE' violation, file_size amount from told where file_size > 20000

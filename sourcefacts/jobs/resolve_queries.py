@@ -150,7 +150,7 @@ def c15_external_references(spark, sf_dir):
 
 
 def c16_dedupe_relationships(spark, sf_dir):
-    return R.dedupe_relationships(fact(spark, sf_dir, "edges").select("repository_id", "source_id", "target_id", "kind", "confidence", F.col("kind").alias("resolution_method"), F.lit("p").alias("relative_path"), "line", F.lit(1).alias("column"), F.col("id").alias("evidence_text"), F.col("column").alias("emitted")))
+    return R.dedupe_relationships(fact(spark, sf_dir, "edges").select("repository_id", "source_id", "target_id", "kind", "confidence", F.col("kind").alias("resolution_method"), F.lit("p").alias("relative_path"), "line", F.lit(1).alias("column"), F.col("id").alias("evidence_text"), F.col("column").alias("emitted"))).select(*R.EDGE_COLUMNS)
 
 
 def c17_truncate_text(spark, sf_dir):

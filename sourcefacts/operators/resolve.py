@@ -106,11 +106,12 @@ def call_sources(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def scope_types(calls: DataFrame, fields: DataFrame, params: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Adds ``scope_type_id``: the static type of what a call is made on."""
+    """Adds ``scope_type_name`` and ``scope_type_id``: the static type of what a call is made on, as written and where one type has the name."""
     known = field_types(fields, params, symbols).select(F.col("repository_id").alias("_r"), F.col("type_id").alias("_t"), F.col("name").alias("_n"), F.col("type_text").alias("_text"))
     joined = calls.join(known, (F.col("repository_id") == F.col("_r")) & (F.col("owner_id") == F.col("_t")) & (F.col("scope_name") == F.col("_n")), "left")
     text = F.when(F.col("scope_kind") == "NAME", F.coalesce("_text", "scope_name")).when(F.col("scope_kind") == "THIS_FIELD", F.col("_text"))
-    typed = _with_type(joined, F.nullif(raw_type(text), F.lit("")), symbols, "_found", "left")
+    named = joined.withColumn("scope_type_name", F.nullif(raw_type(text), F.lit("")))
+    typed = _with_type(named, F.col("scope_type_name"), symbols, "_found", "left")
     return typed.withColumn("scope_type_id", F.when(F.col("scope_kind") == "NONE", F.col("owner_id")).otherwise(F.col("_found"))).drop("_r", "_t", "_n", "_text", "_found")
 
 
@@ -118,7 +119,8 @@ def call_outcomes(calls: DataFrame, symbols: DataFrame, fields: DataFrame, param
     """Every call whose source is known, with exactly one ``outcome``.
 
     EXACT (or GLOBAL: found by name and arity alone), REPOSITORY, MULTIPLE,
-    EXTERNAL or NO_TARGET, with ``target_id`` and the number of candidates.
+    EXTERNAL or NO_TARGET, with ``target_id`` and the number of candidates;
+    ``asked_all`` when the methods of all types were looked at.
     A global hit is an exact one unless ``documented_fallback``.
     """
     scoped = scope_types(call_sources(calls, symbols), fields, params, symbols)
@@ -138,7 +140,9 @@ def call_outcomes(calls: DataFrame, symbols: DataFrame, fields: DataFrame, param
         .when(F.col("_store").isNotNull(), "REPOSITORY").when(n > 1, "MULTIPLE").when(F.col("scope_kind") != "NONE", "EXTERNAL").otherwise("NO_TARGET")
     )
     target = F.when(n == 1, F.coalesce("_own_id", "_all_id")).when(F.col("_store").isNotNull(), F.col("_store"))
-    return found.withColumn("candidates", n.cast("long")).withColumn("outcome", outcome).withColumn("target_id", target).select(*scoped.columns, F.coalesce("from_test", F.lit(False)).alias("from_test"), "candidates", "outcome", "target_id")
+    return found.withColumn("candidates", n.cast("long")).withColumn("outcome", outcome).withColumn("target_id", target).select(
+        *scoped.columns, F.coalesce("from_test", F.lit(False)).alias("from_test"), ((F.col("scope_kind") == "NONE") & F.col("_own").isNull()).alias("asked_all"), "candidates", "outcome", "target_id",
+    )
 
 
 def direct_call_edges(outcomes: DataFrame) -> DataFrame:
@@ -169,12 +173,65 @@ def external_references(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("outcome = 'EXTERNAL'").select("repository_id", "source_id", "relative_path", truncated(F.col("expr_text"), EXTERNAL_CHARS).alias("display_name"), "line", "column")
 
 
+LOOKUP = ["kind", "owner", "name", "arity"]
+
+
+def _lookup(df: DataFrame, kind: str, owner: Column | None = None, name: Column | None = None, arity: Column | None = None) -> DataFrame:
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("")) if c is not None else F.lit("")
+    return df.select("repository_id", "relative_path", F.lit(kind).alias("kind"), text(owner).alias("owner"), text(name).alias("name"), (arity if arity is not None else F.lit(-1)).cast("int").alias("arity"))
+
+
+def name_lookups(type_refs: DataFrame, params: DataFrame, outcomes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``repository_id, relative_path, kind, owner, name, arity``: what each file's resolution asked for, found or not.
+
+    TYPE: a type of that name. MEMBER: a method of a type (``owner``) by name
+    and arity. GLOBAL: a method of any type. STORE: whether a type is a
+    repository, and of what. Another answer to one of these is the only way
+    in which a change elsewhere changes the edges, unresolved calls and
+    external references of a file.
+    """
+    declared = type_refs.where(F.col("type_kind").isin("CLASS", "INTERFACE"))
+    based = declared.where((F.col("ref_kind") == "EXTENDS") & raw_type(F.col("text")).isin(*DATA_BASES) & (F.size("type_args") > 0))
+    tests = types_of(symbols).where(F.array_contains("roles", "TEST"))
+    scoped, owned = outcomes.where("scope_type_name is not null"), outcomes.where("scope_type_id is not null")
+    parts = [
+        _lookup(declared, "TYPE", name=raw_type(F.col("text"))), _lookup(based, "TYPE", name=raw_type(F.element_at("type_args", 1))), _lookup(params, "TYPE", name=raw_type(F.col("type_text"))),
+        _lookup(tests, "TYPE", name=F.regexp_replace("simple_name", "Tests?$", "")), _lookup(scoped, "TYPE", name=F.col("scope_type_name")),
+        _lookup(owned, "MEMBER", F.col("scope_type_id"), F.col("callee"), F.col("arg_count")), _lookup(owned, "STORE", F.col("scope_type_id")),
+        _lookup(outcomes.where("asked_all"), "GLOBAL", name=F.col("callee"), arity=F.col("arg_count")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def changed_answers(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``repository_id, kind, owner, name, arity`` of the look-ups that answer otherwise for these symbols of changed files than for those."""
+    told = lambda df: df.select("repository_id", "id", "kind", "parent_id", "simple_name", "signature", F.array_join(F.array_sort("roles"), ",").alias("_roles"), F.lit("").alias("relative_path"))
+    a, b = told(before), told(after)
+    changed = a.exceptAll(b).unionByName(b.exceptAll(a)).withColumnRenamed("kind", "_kind")
+    types, methods = changed.where(F.col("_kind").isin(*TYPE_KINDS)), changed.where("_kind = 'METHOD'")
+    n = arity(F.col("signature"))
+    parts = [_lookup(types, "TYPE", name=F.col("simple_name")), _lookup(types, "STORE", F.col("id")), _lookup(methods, "MEMBER", F.col("parent_id"), F.col("simple_name"), n), _lookup(methods, "GLOBAL", name=F.col("simple_name"), arity=n)]
+    return reduce(DataFrame.unionByName, parts).drop("relative_path").distinct()
+
+
+def asking_files(lookups: DataFrame, answers: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Files whose resolution asked for one of the answers, and those that asked for the repository types among them.
+
+    What a repository type manages follows from names that its own file
+    looked up, so who calls it is reopened with it.
+    """
+    first = materialize(lookups.join(answers, ["repository_id", *LOOKUP], "left_semi").select("repository_id", "relative_path").distinct(), "asking")
+    stores = types_of(symbols).where(F.array_contains("roles", "REPOSITORY")).join(first, ["repository_id", "relative_path"], "left_semi").select("repository_id", F.col("id").alias("owner"))
+    second = lookups.where("kind = 'STORE'").join(stores, ["repository_id", "owner"], "left_semi").select("repository_id", "relative_path")
+    return first.unionByName(second).distinct()
+
+
 def dedupe_relationships(edges: DataFrame) -> DataFrame:
-    """The first emitted row for each key; a row for each key and task goes into the shuffle."""
+    """The first emitted row for each key, and how ``often`` it was emitted; a row for each key and task goes into the shuffle."""
     rest = [c for c in EDGE_COLUMNS if c not in EDGE_KEY]
     order = F.struct("emitted", (-F.col("confidence")).alias("_c"), "resolution_method", "evidence_text")
-    first = edges.groupBy(*EDGE_KEY).agg(F.min_by(F.struct(*rest), order).alias("_f"))
-    return first.select(*EDGE_KEY, "_f.*").select(*EDGE_COLUMNS)
+    first = edges.groupBy(*EDGE_KEY).agg(F.min_by(F.struct(*rest), order).alias("_f"), F.count("*").alias("often"))
+    return first.select(*EDGE_KEY, "_f.*", "often").select(*EDGE_COLUMNS, "often")
 
 
 def with_edge_ids(edges: DataFrame) -> DataFrame:
@@ -183,7 +240,7 @@ def with_edge_ids(edges: DataFrame) -> DataFrame:
 
 
 def resolve(symbols: DataFrame, type_refs: DataFrame, params: DataFrame, fields: DataFrame, calls: DataFrame, documented_fallback: bool = False, seed_managed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All edges, unresolved calls and external references of the facts.
+    """All edges, unresolved calls, external references and look-ups of the facts.
 
     Entity access does not hang on the order of files. ``seed_managed`` are
     stored MANAGES_ENTITY edges of files that are not read again.
@@ -197,4 +254,7 @@ def resolve(symbols: DataFrame, type_refs: DataFrame, params: DataFrame, fields:
         direct_call_edges(outcomes), repository_call_edges(outcomes), entity_access_edges(outcomes, all_managed),
     ]
     edges = dedupe_relationships(reduce(DataFrame.unionByName, parts))
-    return {"relationships": with_edge_ids(edges), "unresolved": unresolved_calls(outcomes), "external": external_references(outcomes)}
+    return {
+        "relationships": with_edge_ids(edges), "unresolved": unresolved_calls(outcomes), "external": external_references(outcomes),
+        "lookups": name_lookups(type_refs, params, outcomes, symbols),
+    }

@@ -49,6 +49,22 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int, stop: DataFrame |
     return reduce(DataFrame.unionByName, parts)
 
 
+def within_budget(frontier: DataFrame, degrees: DataFrame, node: str, totals: DataFrame, edge_limit: int) -> DataFrame:
+    """The frontier rows of each root that its remaining edges can reach, before they meet the adjacency.
+
+    ``degrees``: repository_id, ``node`` and ``degree``, its edges, of which
+    each counts, as a node is gone on from once. In visit order (``o1``) the
+    rows stay as long as the edges of those before them leave room for one
+    more, or for the first that there is no room for. So a root's level has
+    ``edge_limit`` steps and those of one node more at most. Rows without
+    edges go.
+    """
+    before = W.partitionBy("root", "repository_id").orderBy("o1").rangeBetween(W.unboundedPreceding, -1)
+    left = totals.where("not done").select("root", "repository_id", (F.lit(edge_limit) - F.col("n_edges")).alias("_left"))
+    told = frontier.join(degrees, ["repository_id", node]).withColumn("_before", F.coalesce(F.sum("degree").over(before), F.lit(0)))
+    return told.join(left, ["root", "repository_id"]).where(F.col("_before") <= F.col("_left")).select(*frontier.columns)
+
+
 def _placed(steps: DataFrame, nodes: DataFrame, edges: DataFrame, totals: DataFrame, node_limit: int, edge_limit: int) -> DataFrame:
     """Applies the limits to one level of steps, in visit order.
 
@@ -97,14 +113,19 @@ class Walk:
             return self.nodes[0].select("root", "repository_id").where("false").withColumn("reason", F.lit(None).cast("string"))
         return reduce(DataFrame.unionByName, self.reasons)
 
-    def take(self, steps: DataFrame, depth: int) -> DataFrame:
-        """Applies the limits and keeps what is before them; the kept steps come back."""
+    def totals(self) -> DataFrame:
+        """``root, repository_id, n_nodes, n_edges, reason, done`` so far."""
         nodes, edges = self.all_nodes(), self.all_edges()
-        totals = (
+        return (
             nodes.groupBy("root", "repository_id").agg(F.count("*").alias("n_nodes"))
             .join(edges.groupBy("root", "repository_id").agg(F.count("*").alias("n_edges")), ["root", "repository_id"], "left").fillna(0, ["n_edges"])
             .join(self.all_reasons(), ["root", "repository_id"], "left").withColumn("done", F.col("reason").isNotNull())
         )
+
+    def take(self, steps: DataFrame, depth: int, totals: DataFrame | None = None) -> DataFrame:
+        """Applies the limits and keeps what is before them; the kept steps come back."""
+        nodes, edges = self.all_nodes(), self.all_edges()
+        totals = self.totals() if totals is None else totals
         placed = materialize(_placed(steps, nodes, edges, totals, self.node_limit, self.edge_limit), "level")
         kept = placed.where("_stop is null or seq < _stop")
         self.nodes.append(kept.where("is_new").select("root", "repository_id", "node_id", F.lit(depth).alias("depth"), (F.lit(depth * LEVEL).cast("long") + F.col("seq")).alias("seq")))
@@ -144,7 +165,13 @@ def forward_walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4, node_li
         rank = F.row_number().over(W.partitionBy("repository_id", "source_id").orderBy("line", "id"))
         leaves = materialize(externals.withColumn("edge_rank", rank.cast("long")).where(F.col("edge_rank") <= EXTERNAL_LIMIT).select("repository_id", "source_id", "id", "edge_rank"), "leaves")
     frontier = materialize(roots.select("root", "repository_id", F.col("node_id").alias("source_id")).distinct().withColumn("o1", F.lit(0).cast("long")), "frontier")
+    counted = adjacency.select("repository_id", "source_id") if leaves is None else adjacency.select("repository_id", "source_id").unionByName(leaves.select("repository_id", "source_id"))
+    degrees = materialize(counted.groupBy("repository_id", "source_id").agg(F.count("*").alias("degree")), "degrees")
     for depth in range(1, max_depth + 1):
+        totals = materialize(walk.totals(), "totals")
+        frontier = within_budget(frontier, degrees, "source_id", totals, walk.edge_limit)
+        if leaves is not None:
+            frontier = materialize(frontier, "frontier")
         steps = frontier.join(adjacency, ["repository_id", "source_id"]).select(
             "root", "repository_id", "o1", F.lit(0).alias("o2"), F.col("edge_rank").alias("o3"), F.col("target_id").alias("node_id"), F.col("id").alias("edge_id"), "source_id", "target_id", "kind", F.lit(True).alias("edge_first"),
         )
@@ -154,7 +181,7 @@ def forward_walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4, node_li
                 "root", "repository_id", "o1", F.lit(1).alias("o2"), F.col("edge_rank").alias("o3"), leaf.alias("node_id"), F.concat(F.lit("external-edge:"), F.col("id")).alias("edge_id"),
                 "source_id", leaf.alias("target_id"), F.lit("CALLS").alias("kind"), F.lit(False).alias("edge_first"),
             ))
-        kept = walk.take(steps, depth)
+        kept = walk.take(steps, depth, totals)
         cut = walk.reasons[-1]
         frontier = kept.where("is_new and o2 = 0").join(cut, ["root", "repository_id"], "left_anti").select("root", "repository_id", F.col("node_id").alias("source_id"), F.col("seq").alias("o1"))
         if frontier.isEmpty():
@@ -173,8 +200,9 @@ def blast_radius(roots: DataFrame, edges: DataFrame, endpoints: DataFrame, test_
     _depth(max_depth)
     nodes, none = _start(roots)
     walk = Walk(materialize(nodes, "start"), materialize(none, "start"), node_limit, edge_limit)
+    # of one method's endpoints, too, no more than the limit can be taken
     handled = endpoints.withColumn("_rank", F.row_number().over(W.partitionBy("repository_id", "method_id").orderBy("http_method", "path", "endpoint_id")).cast("long"))
-    handled = materialize(handled.select("repository_id", F.col("method_id").alias("source_id"), "endpoint_id", "_rank"), "endpoints")
+    handled = materialize(handled.where(F.col("_rank") <= walk.edge_limit + 1).select("repository_id", F.col("method_id").alias("source_id"), "endpoint_id", "_rank"), "endpoints")
 
     def reaching(sources: DataFrame) -> DataFrame:
         """Steps to the endpoints that the sources handle. ``sources``: root, repository_id, source_id, o1, o2."""
@@ -195,12 +223,14 @@ def blast_radius(roots: DataFrame, edges: DataFrame, endpoints: DataFrame, test_
     walk.take(first, 0)
     incoming = materialize(ranked_edges(edges, "target_id", walk.edge_limit + 1).select("repository_id", "source_id", "target_id", "id", "kind", "edge_rank"), "incoming")
     frontier = materialize(own.select("root", "repository_id", F.col("source_id").alias("target_id")).join(walk.reasons[-1], ["root", "repository_id"], "left_anti").withColumn("o1", F.lit(0).cast("long")), "frontier")
+    degrees = materialize(incoming.groupBy("repository_id", "target_id").agg(F.count("*").alias("degree")), "degrees")
     for depth in range(1, max_depth + 1):
-        level = frontier.join(incoming, ["repository_id", "target_id"])
+        totals = materialize(walk.totals(), "totals")
+        level = within_budget(frontier, degrees, "target_id", totals, walk.edge_limit).join(incoming, ["repository_id", "target_id"])
         back = level.select(
             "root", "repository_id", "o1", F.col("edge_rank").alias("o2"), F.lit(0).cast("long").alias("o3"), F.col("source_id").alias("node_id"), F.col("id").alias("edge_id"), "source_id", "target_id", "kind", F.lit(False).alias("edge_first"),
         )
-        kept = walk.take(back.unionByName(reaching(level.select("root", "repository_id", "source_id", "o1", F.col("edge_rank").alias("o2")))), depth)
+        kept = walk.take(back.unionByName(reaching(level.select("root", "repository_id", "source_id", "o1", F.col("edge_rank").alias("o2")))), depth, totals)
         frontier = (
             kept.where("is_new and o3 = 0").join(walk.reasons[-1], ["root", "repository_id"], "left_anti").join(test_nodes.select("repository_id", "node_id").distinct(), ["repository_id", "node_id"], "left_anti")
             .select("root", "repository_id", F.col("node_id").alias("target_id"), F.col("seq").alias("o1"))
