@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``materialize`` of tables that don't need each other, side by side, so that a small one doesn't hold the others up."""
+    with ThreadPoolExecutor(max(1, len(tables))) as pool:
+        # each with the caller's list of written tables
+        running = {name: pool.submit(copy_context().run, materialize, table, name) for name, table in tables.items()}
+        return {name: done.result() for name, done in running.items()}
+
+
 @contextmanager
 def written_tables() -> Iterator[list[str]]:
     """The folders of the tables that are materialized inside, for who knows when they are done with."""

@@ -147,6 +147,22 @@ def g6_apply_increment(spark, sf_dir):
     return I.apply_increment(index, fresh, changed)["relationships"].select("repository_id", "id", "source_id", "target_id")
 
 
+def g6_stored_merge(spark, sf_dir):
+    """The same replacement in a stored index, where only the buckets of changed files and of those that depend on them are written."""
+    path = shared_dir(spark, "merged-index")
+    names, places = type_symbols(spark, sf_dir), type_symbols(spark, sf_dir).select("repository_id", F.col("id").alias("source_id"), "relative_path")
+    calls = edges(spark, sf_dir).join(places, ["repository_id", "source_id"])
+    base = X.write_index({"symbols": names, "relationships": calls}, path)
+    changed = type_changes(spark, sf_dir)
+    affected = changed.unionByName(g2_dependant_files(spark, sf_dir)).distinct()
+    again = names.join(affected, ["repository_id", "relative_path"], "left_semi").where("kind <> 'ENUM' or simple_name like 'r%'")
+    ends = names.where("kind <> 'ENUM' or simple_name like 'r%'").select("repository_id", F.col("id").alias("target_id"))
+    kept = calls.join(again.select("repository_id", F.col("id").alias("source_id")), ["repository_id", "source_id"], "left_semi").where("source_id is not null")
+    fresh = {"symbols": again, "relationships": kept.join(ends, ["repository_id", "target_id"], "left_semi").join(changed, ["repository_id", "relative_path"], "left_anti").select(*calls.columns)}
+    X.merge_files(spark, path, fresh, affected, base)
+    return X.read_index(spark, path, ["relationships"])["relationships"].select("repository_id", "id", "source_id", "target_id")
+
+
 def g7_snapshot_drift(spark, sf_dir):
     return I.snapshot_drift(described(spark, sf_dir), described(spark, sf_dir, "snapshot"))
 
@@ -209,6 +225,7 @@ ORACLES = {
       union all select t.repository_id, t.relative_path, m.mode from types t join modes m on m.repository_id = t.repository_id and m.mode = 'BROAD'""", STEPS),
     "g4_retained_symbols": oracle("select t.repository_id, t.id, t.relative_path from types t where not exists (select 1 from dependants d where d.relative_path = t.relative_path and d.repository_id = t.repository_id)", STEPS),
     "g6_apply_increment": oracle("""select e.repository_id, e.id, e.source_id, e.target_id from edges e join types s on s.id = e.source_id and s.kind <> 'ENUM' join types t on t.id = e.target_id and (t.kind <> 'ENUM' or t.simple_name like 'r%')"""),
+    "g6_stored_merge": oracle("""select e.repository_id, e.id, e.source_id, e.target_id from edges e join types s on s.id = e.source_id and s.kind <> 'ENUM' join types t on t.id = e.target_id and (t.kind <> 'ENUM' or t.simple_name like 'r%')"""),
     "g7_snapshot_drift": oracle("select * from diff where change <> 'UNCHANGED'", STEPS),
     "g8_run_summary": oracle("""select repository_id, 'files' what, count(*) n from files group by 1 union all select repository_id, 'symbols', count(*) from symbols group by 1 union all select repository_id, 'edges', count(*) from edges group by 1
       union all select repository_id, lower(change), count(*) from diff where change <> 'UNCHANGED' group by 1, 2""", STEPS),

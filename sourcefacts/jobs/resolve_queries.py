@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import confidence_label, raw_type
-from ..functions.tables import materialize
+from ..functions.tables import materialize_all
 from ..operators import resolve as R
 from .proxy import fact, oracle
 
@@ -162,8 +162,7 @@ def c18_confidence_label(spark, sf_dir):
 
 
 def c19_resolve(spark, sf_dir):
-    written = {name: materialize(table, name) for name, table in facts(spark, sf_dir).items()}
-    return R.resolve(**written)["relationships"].select(*R.EDGE_COLUMNS)
+    return R.resolve(**materialize_all(facts(spark, sf_dir)))["relationships"].select(*R.EDGE_COLUMNS)
 
 
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "c" and k[1:2].isdigit()}

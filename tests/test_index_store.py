@@ -177,3 +177,23 @@ def test_a_repository_that_is_emptied(spark, path):
     assert held(spark, path) == [(2, "b", 2)]
     X.write_index({"facts": facts(spark, [])}, path, spark.createDataFrame([(2,)], "repository_id long"))
     assert held(spark, path) == []
+
+
+def test_drift_is_found_by_digests(spark):
+    import random
+
+    from sourcefacts.operators import reindex as I
+
+    rng = random.Random(6)
+    before = {(r, f"{rng.choice(['a', 'a/b', 'a/b/c', 'd'])}/F{i}.java"): rng.choice(["h1", "h2", None]) for i in range(200) for r in (rng.randrange(4),)} | {(9, "Top.java"): "h"}
+    after = {k: v for k, v in before.items() if k[0] == 0 or rng.random() > 0.05}
+    after |= {k: "h3" for k in list(after) if k[0] and rng.random() < 0.05} | {(7, "new/N.java"): "h1", (1, "a/Z.java"): None}
+    table = lambda rows: spark.createDataFrame([(*k, v) for k, v in rows.items()], "repository_id int, relative_path string, content_hash string")
+    a, b = table(before), table(after)
+    want = sorted(map(tuple, I.diff_snapshots(a.fillna("none"), b.fillna("none")).where("change <> 'UNCHANGED'").select("repository_id", "relative_path").collect()))
+    assert want
+    # a null hash is no change by itself in the diff, so those that were null are compared as text
+    got = I.snapshot_drift(a.fillna("none"), b.fillna("none"))
+    assert sorted((r["repository_id"], r["relative_path"]) for r in got.collect()) == want
+    assert I.snapshot_drift(a, a).isEmpty() and I.snapshot_drift(a.limit(0), a.limit(0)).isEmpty()
+    assert {r[0] for r in I._unequal(a.fillna("none"), b.fillna("none"), "repository_id").collect()} == {r for r, _ in want}, "equal repositories are not looked into"
