@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.tables import drop_tables, written_tables
 from .common import materialize, running_totals
 
 #: The patterns of the contract. Quantifiers that can never give
@@ -199,7 +200,7 @@ def marked_terms(docs: DataFrame, flagged: DataFrame, everywhere: bool) -> DataF
 
 
 def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text", everywhere: bool = False) -> DataFrame:
-    """``_row`` (struct of ``payload``) with ``text`` and ``spans`` of every row.
+    """``_row`` (struct of ``payload``) with ``text``, ``absent`` (it was null) and ``spans`` of every row.
 
     ``spans`` (array of kind, start, end, value, action) has the pattern
     matches by kind and start, then the disclosing terms by start; a term that
@@ -210,21 +211,26 @@ def find_disclosures(docs: DataFrame, payload: list[str], text_col: str = "text"
     term with two actions takes the stricter; an empty table gives no rows.
     The table is read once for each count, so no text is written; it meets the
     marked terms by the hash of its text, in a join by shuffle at every size.
+    Leave the text out of ``payload``, else it goes through that shuffle twice.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_row")
-    whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
+    told = F.col(f"`{text_col}`").cast("string")
+    whole, absent = F.coalesce(told, F.lit("")).alias("_text"), told.isNull().alias("_absent")
     texts = docs.select(whole)
-    pairs = materialize(entity_terms(texts), "entity-terms")
-    flagged = materialize(disclosing_terms(pairs, term_counts(texts)), "disclosing-terms")
-    marks = materialize(marked_terms(texts, flagged, everywhere), "marked-terms")
-    found = find_values(docs.select(row, whole)).withColumn("_key", _key(F.col("_text"))).join(marks.hint("merge"), "_key", "left")
+    with written_tables() as on_the_way:
+        pairs = materialize(entity_terms(texts), "entity-terms")
+        flagged = materialize(disclosing_terms(pairs, term_counts(texts)), "disclosing-terms")
+        terms = marked_terms(texts, flagged, everywhere)
+    marks = materialize(terms, "marked-terms")
+    drop_tables(docs.sparkSession, on_the_way)
+    found = find_values(docs.select(row, whole, absent)).withColumn("_key", _key(F.col("_text"))).join(marks.hint("merge"), "_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     marked = found.withColumn("_pattern", pattern).withColumn("_hits", F.when(F.col("_terms").isNotNull(), _found(F.col("_text"), F.col("_pattern"))).otherwise(F.array().cast("array<string>")))
     spots = F.when(F.size("_hits") > 0, located(F.col("_text"), F.col("_pattern"), F.col("_hits"), len(KINDS))).otherwise(F.array().cast(f"array<{SPAN}>"))
     marked = marked.withColumn("_spots", spots)
     free = F.filter("_spots", lambda w: ~F.exists("_spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
     acted = F.transform(free, lambda w: w.withField("action", F.coalesce(F.try_element_at(F.col("_terms"), F.lower(w["value"])), F.lit("generalise"))))
-    return marked.select("_row", F.col("_text").alias("text"), F.concat("_spans", acted).alias("spans"))
+    return marked.select("_row", F.col("_text").alias("text"), F.col("_absent").alias("absent"), F.concat("_spans", acted).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -254,11 +260,10 @@ def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     ``everywhere`` as in ``find_disclosures``.
     """
     kinds = dict(docs.dtypes)
-    out = find_disclosures(docs, docs.columns, everywhere=everywhere)
+    out = find_disclosures(docs, [c for c in docs.columns if c != "text"], everywhere=everywhere)
     changed = F.size("spans") > 0
-    done = out.withColumn("_done", F.when(changed, redact(F.col("text"), F.col("spans"))).otherwise(F.col("_row.text")))
-    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns}
-    columns["text"] = F.col("_done")
+    done = out.withColumn("_done", F.when(changed, redact(F.col("text"), F.col("spans"))).when(~F.col("absent"), F.col("text")))
+    columns = {c: F.col("_done") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns}
     if "n_chars" in kinds:
         columns["n_chars"] = F.when(changed, F.length("_done").cast(kinds["n_chars"])).otherwise(F.col("_row.n_chars"))
     return done.select(*[v.alias(c) for c, v in columns.items()])
