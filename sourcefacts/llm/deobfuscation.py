@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ JOINERS = "._-*~^'’`,;:/\\#%&=​‌‍­"
 SIGN_COST, NOISE_COST, REPEAT_COST, BREAK_COST, JOIN_COST = 1.0, 1.5, 0.5, 2.0, 0.2
 #: Longer tokens with signs are read in pieces of so many characters.
 MAX_PLACES = 40
+#: Readings that a restorer remembers; a full memory is emptied.
+KNOWN_PIECES = 100_000
 
 #: Letter codes: 0 is the edge of a word, a-z, then à-ÿ, then any other letter.
 CODES = 60
@@ -38,7 +41,12 @@ _JOINED = re.compile(f"[{re.escape(JOINERS)}]+")
 _SINGLE = r"[^\W_]|[@$!|+(<€£¡]"
 _SPACED = re.compile(rf"(?<!\S)(?:(?:{_SINGLE})[ .\-_*]{{1,3}}){{2,}}(?:{_SINGLE})(?![^\s.,;:!?])")
 
+#: Where no three single signs stand apart like this, nothing is spaced.
+_MAYBE_SPACED = re.compile(rf"\s(?:{_SINGLE})[ .\-_*]{{1,3}}(?:{_SINGLE})[ .\-_*]{{1,3}}(?:{_SINGLE})")
+_BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 
+
+@cache
 def code_of(letter: str) -> int:
     o = ord(letter)
     return o - 96 if 97 <= o <= 122 else o - 0xE0 + 27 if 0xE0 <= o <= 0xFF and o != 0xF7 else CODES - 1
@@ -48,7 +56,7 @@ def _code_table() -> np.ndarray:
     table = np.zeros(0x110000, dtype=np.uint8)
     for o in range(0x110000):
         if chr(o).isalpha():
-            table[o] = code_of(chr(o))
+            table[o] = code_of.__wrapped__(chr(o))  # not remembered: so many letters
     return table
 
 
@@ -158,7 +166,22 @@ def decode(places: list[Place], model: LetterModel) -> str:
     """The cheapest reading of a lattice (Viterbi over the last two letters)."""
     rows = model.rows
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for place in places:
+    at = 0
+    while at < len(places):
+        if len(best) == 1:
+            # one state, and places of one letter, as most are: the same sums without a table
+            (((a, b), (cost, out)),) = best.items()
+            while at < len(places) and len(place := places[at]) == 1 and len(place[0][0]) == 1 and place[0][0] != " ":
+                letter, extra = place[0]
+                c = code_of(letter)
+                cost += extra
+                cost += rows[a][b][c]
+                a, b, out, at = b, c, out + letter, at + 1
+            best = {(a, b): (cost, out)}
+            if at == len(places):
+                break
+        place = places[at]
+        at += 1
         readings = [(letters, extra, [0 if x == " " else code_of(x) for x in letters]) for letters, extra in place]
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, out) in best.items():
@@ -205,10 +228,11 @@ def pieces(token: str) -> list[str]:
 
 
 class Restorer:
-    """Restores words; readings are remembered by the caller."""
+    """Restores words; readings of short pieces are remembered, whole tokens by the caller."""
 
     def __init__(self, model: LetterModel):
         self.model = model
+        self._known: dict[str, list[str]] = {}
 
     def words(self, token: str) -> list[str]:
         """Words of one lower-cased token without white space."""
@@ -223,11 +247,20 @@ class Restorer:
         return out
 
     def _read(self, piece: str) -> list[str]:
-        return [w for w in decode(token_lattice(piece), self.model).split(" ") if w]
+        read = self._known.get(piece)
+        if read is None:
+            read = [w for w in decode(token_lattice(piece), self.model).split(" ") if w]
+            if len(piece) <= MAX_PLACES:
+                if len(self._known) >= KNOWN_PIECES:
+                    self._known.clear()
+                self._known[piece] = read
+        return read
 
     def spaced_words(self, text: str) -> list[str]:
         """Words written letter by letter in a lower-cased text."""
         out = []
+        if not _MAYBE_SPACED.search(f" {text}"):
+            return out
         size = 4 * MAX_PLACES
         for m in _SPACED.finditer(text):
             shape = m.group()
@@ -252,6 +285,6 @@ class Restorer:
 
 def prepared(text: str) -> str:
     """Lower case; compatibility letters (full width, styled) become plain ones."""
-    if text and max(text) > "ɏ":
+    if not text.isascii() and _BEYOND_LATIN.search(text):
         text = unicodedata.normalize("NFKC", text)
     return text.lower()

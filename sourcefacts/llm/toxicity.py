@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +35,11 @@ def features(word: str) -> list[str]:
     return [word, *[f"^{word[:k]}" for k in STEMS if len(word) >= k]] if len(word) > 2 else []
 
 
+def beginnings(listed: Iterable[str]) -> frozenset[str]:
+    """First three letters of all listed features; a word that begins otherwise has none of them."""
+    return frozenset(f.removeprefix("^")[:3] for f in listed)
+
+
 class _TokenFeatures(dict):
     """Token to what ``make`` says of its words; remembered."""
 
@@ -60,8 +65,12 @@ def _count_features(texts: DataFrame, model: LetterModel, wanted: frozenset[str]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_, known = shared.value
-        restorer = Restorer(model_)
-        of = _TokenFeatures(lambda token: tuple({f for w in restorer.words(token) for f in features(w) if known is None or f in known}))
+        restorer, begins = Restorer(model_), None if known is None else beginnings(known)
+
+        def wanted_of(word: str) -> list[str]:
+            return features(word) if known is None else [f for f in features(word) if f in known] if word[:3] in begins else []
+
+        of = _TokenFeatures(lambda token: tuple({f for w in restorer.words(token) for f in wanted_of(w)}))
 
         def told(counts: Counter[str]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
@@ -74,7 +83,7 @@ def _count_features(texts: DataFrame, model: LetterModel, wanted: frozenset[str]
                 for token in set(low.split()):
                     found.update(of[token])
                 for word in restorer.spaced_words(low):
-                    found.update(f for f in features(word) if known is None or f in known)
+                    found.update(wanted_of(word))
                 counts.update(found)
                 if len(counts) > 500_000:
                     yield told(counts)
@@ -168,8 +177,10 @@ def text_evidence(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
         model_ = shared.value
         restorer, odds = Restorer(model_.letters), {f: math.log(p / (1 - p)) for f, p in model_.lexicon.items()}
 
+        begins = beginnings(odds)
+
         def strongest(words: list[str]) -> tuple[float, str] | None:
-            return max(((odds[f], w) for w in words for f in features(w) if f in odds), default=None)
+            return max([(odds[f], w) for w in words if w[:3] in begins for f in features(w) if f in odds], default=None)
 
         of = _TokenFeatures(lambda token: strongest(restorer.words(token)))
         for batch in batches:
