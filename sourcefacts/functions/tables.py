@@ -15,18 +15,24 @@ _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: A write deletes its shuffle files as it ends; else these stay until the driver happens to collect its garbage.
+_CLEAN = {_CLEANED: "true"}
+
+
 @contextmanager
-def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Writes inside delete their shuffle files as they end; else these stay until the driver happens to collect its garbage."""
-    before = spark.conf.get(_CLEANED, None)
-    spark.conf.set(_CLEANED, "true")
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings inside; those from before hold again afterwards."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANED)
-        else:
-            spark.conf.set(_CLEANED, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -45,18 +51,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """Write once to the shared folder and go on from the written table.
 
     Cuts the lineage and lets several later steps read one result; the files
-    outlive any executor.
+    outlive any executor. ``options`` are of the files, ``settings`` of the
+    session while they are written.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     if (written := _WRITTEN.get()) is not None:
         written.append(path)
-    with _cleaned_shuffles(spark):
-        df.write.parquet(path)
+    with _settings(spark, _CLEAN | (settings or {})):
+        df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +71,7 @@ def materialize_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``materialize`` of tables that don't need each other, side by side, so that a small one doesn't hold the others up."""
     with ExitStack() as around:
         for spark in {table.sparkSession for table in tables.values()}:
-            around.enter_context(_cleaned_shuffles(spark))
+            around.enter_context(_settings(spark, _CLEAN))
         pool = around.enter_context(ThreadPoolExecutor(max(1, len(tables))))
         # each with the caller's list of written tables
         running = {name: pool.submit(copy_context().run, materialize, table, name) for name, table in tables.items()}

@@ -21,13 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tables import drop_tables, written_tables
-from .common import keep, materialize
+from .common import done_with, keep, materialize
 
 #: Words of one segment; a longer document is a segment of its own.
 SEGMENT_WORDS = 400_000
 #: Bytes of benchmark text that are searched for at once; more go in blocks.
 BLOCK_BYTES = 2_000_000
 WINDOW = 10
+#: The index is stored and read a segment at a time, and texts and segments come to
+#: Python a few megabytes at a time, so that a task's memory doesn't hang on its files.
+#: A segment's numbers and terms all differ: a dictionary for each would be made in vain.
+_STORED = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
+_IN_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 #: Every byte that is no word byte becomes a space; A-Z become a-z.
 _WORD_BYTES = bytes(
@@ -282,16 +287,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Returns ``doc_id, n_words, spans, items`` for every row of ``docs``:
     spans of word positions, merged, and the ids of the items found. The
-    index is written once and searched for one block of the benchmark after
-    another; where there are several, their spans are merged by document. Null texts and empty ones have no words and no spans;
+    index is written once, searched for one block of the benchmark after
+    another and deleted; where there are several, their spans are merged by document. Null texts and empty ones have no words and no spans;
     an item without words or without an id is never found; equal items are
     all reported.
     """
-    index = materialize(build_index(docs, id_col, text_col), "postings")
+    index = materialize(build_index(docs, id_col, text_col), "postings", _STORED, _IN_BATCHES)
     searches = [phrase_matches(index, Phrases.windows(block, window)) for block in benchmark_blocks(benchmark, block_bytes=block_bytes)]
-    if len(searches) == 1:
-        return searches[0].select("doc_id", "n_words", "spans", "items")
-    return _merge_blocks(reduce(DataFrame.unionByName, searches))
+    found = materialize(reduce(DataFrame.unionByName, searches), "matches", settings=_IN_BATCHES)
+    done_with(index)
+    return _merge_blocks(found) if len(searches) > 1 else found.select("doc_id", "n_words", "spans", "items")
 
 
 def _merge_blocks(found: DataFrame) -> DataFrame:
