@@ -24,3 +24,11 @@ def test_parents_are_joined_by_shuffle(scanned):
     assert "Broadcast" not in plan(symbols)
     assert "Broadcast" not in plan(E.unique_symbols(symbols))
     assert symbols.where("parent_id is not null").count() == 6
+
+
+def test_endpoints_are_joined_by_shuffle(scanned):
+    decls = E.raw_decls(scanned)
+    symbols = materialize(E.unique_symbols(E.build_symbols(decls)), "symbols")
+    endpoints = E.extract_endpoints(decls, symbols)
+    assert "Broadcast" not in plan(endpoints)
+    assert endpoints.count() == 3
