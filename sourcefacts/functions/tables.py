@@ -77,6 +77,11 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def measured(spark: SparkSession) -> dict[str, str]:
+    """Settings for a write whose joins are broadcast by what shuffles are found to hold, and not by the size of files."""
+    return {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": spark.conf.get("spark.sql.autoBroadcastJoinThreshold")}
+
+
 def materialize_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``materialize`` of tables that don't need each other, side by side, so that a small one doesn't hold the others up."""
     with ExitStack() as around:

@@ -147,11 +147,13 @@ def oracle(select: str, more: dict[str, str] | None = None) -> str:
     return "with recursive " + ",\n".join(f"{n} as ({facts[n]})" for n in used) + "\n" + select if used else select
 
 
-def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fact table in Spark, over the Parquet tables of ``sf_dir``."""
-    order = needed([name])
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if any(re.search(rf"\b(?:from|join) {t}\b", FACTS[n]) for n in order)}
-    text = "with " + ",\n".join(f"{n} as ({FACTS[n]})" for n in order) + f" select * from {name}"
+def fact(spark: SparkSession, sf_dir: str, name: str, written: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A fact table in Spark, over the Parquet tables of ``sf_dir`` and over facts that were ``written`` before."""
+    facts = {n: select for n, select in FACTS.items() if n not in (written or {})}
+    order = needed([name], facts)
+    used = lambda t: any(re.search(rf"\b(?:from|join) {t}\b", facts[n]) for n in order)
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if used(t)} | {n: df for n, df in (written or {}).items() if used(n)}
+    text = "with " + ",\n".join(f"{n} as ({facts[n]})" for n in order) + f" select * from {name}"
     text = text.replace("{", "{{").replace("}", "}}")  # braces name tables below
     for t in tables:
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)

@@ -5,25 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import confidence_label, raw_type
-from ..functions.tables import materialize_all
+from ..functions.tables import done_with, materialize, measured
 from ..operators import resolve as R
 from .proxy import fact, oracle
 
 
-def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact(spark, sf_dir, "symbols").withColumn("roles", F.array_compact(F.array("role"))).drop("role")
+def symbols(spark: SparkSession, sf_dir: str, written: dict[str, DataFrame] | None = None) -> DataFrame:
+    return fact(spark, sf_dir, "symbols", written).withColumn("roles", F.array_compact(F.array("role"))).drop("role")
 
 
-def type_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact(spark, sf_dir, "type_refs").withColumn("type_args", F.when(F.col("type_arg") != "", F.array("type_arg")).otherwise(F.array().cast("array<string>"))).drop("type_arg")
+def type_refs(spark: SparkSession, sf_dir: str, written: dict[str, DataFrame] | None = None) -> DataFrame:
+    return fact(spark, sf_dir, "type_refs", written).withColumn("type_args", F.when(F.col("type_arg") != "", F.array("type_arg")).otherwise(F.array().cast("array<string>"))).drop("type_arg")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"symbols": symbols(spark, sf_dir), "type_refs": type_refs(spark, sf_dir), **{n: fact(spark, sf_dir, n) for n in ("params", "fields", "calls")}}
+def facts(spark: SparkSession, sf_dir: str, written: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    made = {n: fact(spark, sf_dir, n, written) for n in ("params", "fields", "calls") if n not in (written or {})}
+    return {"symbols": symbols(spark, sf_dir, written), "type_refs": type_refs(spark, sf_dir, written), **made}
+
+
+def written_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The facts as tables, one after another, so that the disk holds the shuffle files of one at a time."""
+    write = lambda df, name: materialize(df, name, settings=measured(spark))
+    types = write(fact(spark, sf_dir, "types"), "types")
+    raw = write(fact(spark, sf_dir, "raw_calls", {"types": types}), "raw-calls")
+    calls = write(fact(spark, sf_dir, "calls", {"types": types, "raw_calls": raw}), "calls")
+    done_with(raw)
+    rest = facts(spark, sf_dir, {"types": types, "calls": calls})
+    made = {name: write(table, name) for name, table in rest.items()}
+    done_with(types)
+    return {"calls": calls, **made}
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
+    f = written_facts(spark, sf_dir)
     return R.call_outcomes(f["calls"], f["symbols"], f["fields"], f["params"])
 
 
@@ -162,7 +176,7 @@ def c18_confidence_label(spark, sf_dir):
 
 
 def c19_resolve(spark, sf_dir):
-    return R.resolve(**materialize_all(facts(spark, sf_dir)))["relationships"].select(*R.EDGE_COLUMNS)
+    return R.resolve(**written_facts(spark, sf_dir))["relationships"].select(*R.EDGE_COLUMNS)
 
 
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "c" and k[1:2].isdigit()}

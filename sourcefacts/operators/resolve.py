@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import DATA_BASES, EVIDENCE_CHARS, EXTERNAL_CHARS, TYPE_KINDS, arity, data_access, raw_type, truncated
-from ..functions.tables import materialize
+from ..functions.tables import done_with, materialize, shuffled
 
 EDGE_COLUMNS = ["repository_id", "source_id", "target_id", "kind", "confidence", "resolution_method", "relative_path", "line", "column", "evidence_text", "emitted"]
 EDGE_KEY = ["repository_id", "source_id", "target_id", "kind", "relative_path", "line", "column"]
@@ -51,7 +51,7 @@ def _edges(df: DataFrame, target: str, kind: Column, confidence: Column | float,
 
 def _with_type(df: DataFrame, name: Column, symbols: DataFrame, out: str, how: str = "inner") -> DataFrame:
     found = unique_types(symbols).select(F.col("repository_id").alias("_named_in"), "type_name", F.col("type_id").alias(out))
-    return df.withColumn("_name", name).join(found, (F.col("repository_id") == F.col("_named_in")) & (F.col("_name") == F.col("type_name")), how).drop("_named_in", "_name", "type_name")
+    return df.withColumn("_name", name).join(shuffled(found), (F.col("repository_id") == F.col("_named_in")) & (F.col("_name") == F.col("type_name")), how).drop("_named_in", "_name", "type_name")
 
 
 def inheritance_edges(type_refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def managed_entity_edges(type_refs: DataFrame, symbols: DataFrame) -> DataFrame:
     found = _with_type(based, raw_type(F.element_at("type_args", 1)), symbols, "_target")
     first = found.groupBy("repository_id", "type_id").agg(F.min_by(F.struct("_target", "relative_path", F.col("type_line").alias("line"), F.col("type_column").alias("column")), "position").alias("f")).select("repository_id", "type_id", "f.*")
     names = symbols.select(F.col("repository_id").alias("_r"), F.col("id").alias("_i"), "qualified_name")
-    named = first.join(names, (F.col("repository_id") == F.col("_r")) & (F.col("_target") == F.col("_i")))
+    named = first.join(shuffled(names), (F.col("repository_id") == F.col("_r")) & (F.col("_target") == F.col("_i")))
     return _edges(named, "_target", F.lit("MANAGES_ENTITY"), 0.95, "SPRING_DATA_GENERIC", F.concat(F.lit("Spring Data repository manages "), F.col("qualified_name")), 1)
 
 
@@ -102,13 +102,13 @@ def call_sources(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Adds ``source_id``: the enclosing method, where name and arity name one; other calls go."""
     lookup = callable_lookup(symbols).where("n = 1").select(F.col("repository_id").alias("_r"), F.col("parent_id").alias("_p"), F.col("name").alias("_n"), F.col("arity").alias("_a"), F.col("method_id").alias("source_id"))
     on = (F.col("repository_id") == F.col("_r")) & (F.col("owner_id") == F.col("_p")) & (F.col("method_name") == F.col("_n")) & (F.col("method_arity") == F.col("_a"))
-    return calls.join(lookup, on).drop("_r", "_p", "_n", "_a")
+    return calls.join(shuffled(lookup), on).drop("_r", "_p", "_n", "_a")
 
 
 def scope_types(calls: DataFrame, fields: DataFrame, params: DataFrame, symbols: DataFrame) -> DataFrame:
     """Adds ``scope_type_name`` and ``scope_type_id``: the static type of what a call is made on, as written and where one type has the name."""
     known = field_types(fields, params, symbols).select(F.col("repository_id").alias("_r"), F.col("type_id").alias("_t"), F.col("name").alias("_n"), F.col("type_text").alias("_text"))
-    joined = calls.join(known, (F.col("repository_id") == F.col("_r")) & (F.col("owner_id") == F.col("_t")) & (F.col("scope_name") == F.col("_n")), "left")
+    joined = calls.join(shuffled(known), (F.col("repository_id") == F.col("_r")) & (F.col("owner_id") == F.col("_t")) & (F.col("scope_name") == F.col("_n")), "left")
     text = F.when(F.col("scope_kind") == "NAME", F.coalesce("_text", "scope_name")).when(F.col("scope_kind") == "THIS_FIELD", F.col("_text"))
     named = joined.withColumn("scope_type_name", F.nullif(raw_type(text), F.lit("")))
     typed = _with_type(named, F.col("scope_type_name"), symbols, "_found", "left")
@@ -121,18 +121,27 @@ def call_outcomes(calls: DataFrame, symbols: DataFrame, fields: DataFrame, param
     EXACT (or GLOBAL: found by name and arity alone), REPOSITORY, MULTIPLE,
     EXTERNAL or NO_TARGET, with ``target_id`` and the number of candidates;
     ``asked_all`` when the methods of all types were looked at.
-    A global hit is an exact one unless ``documented_fallback``.
+    A global hit is an exact one unless ``documented_fallback``. Calls are
+    written after every two look-ups, so the disk holds the shuffle files of
+    two at a time, and a table of these steps is deleted once the next is
+    written.
     """
-    scoped = scope_types(call_sources(calls, symbols), fields, params, symbols)
+    sourced = materialize(call_sources(calls, symbols), "sourced")
+    scoped = materialize(scope_types(sourced, fields, params, symbols), "scoped")
+    done_with(sourced)
     own = callable_lookup(symbols).select(F.col("repository_id").alias("_r"), F.col("parent_id").alias("_p"), F.col("name").alias("_n"), F.col("arity").alias("_a"), F.col("n").alias("_own"), F.col("method_id").alias("_own_id"))
     everywhere = global_lookup(symbols).select(F.col("repository_id").alias("_gr"), F.col("name").alias("_gn"), F.col("arity").alias("_ga"), F.col("n").alias("_all"), F.col("method_id").alias("_all_id"))
     stores = types_of(symbols).where(F.array_contains("roles", "REPOSITORY")).select(F.col("repository_id").alias("_sr"), F.col("id").alias("_store"))
     sources = symbols.select(F.col("repository_id").alias("_xr"), F.col("id").alias("_xid"), F.array_contains("roles", "TEST").alias("from_test"))
-    found = (
-        scoped.join(own, (F.col("repository_id") == F.col("_r")) & (F.col("scope_type_id") == F.col("_p")) & (F.col("callee") == F.col("_n")) & (F.col("arg_count") == F.col("_a")), "left")
+    looked_up = (
+        scoped.join(shuffled(own), (F.col("repository_id") == F.col("_r")) & (F.col("scope_type_id") == F.col("_p")) & (F.col("callee") == F.col("_n")) & (F.col("arg_count") == F.col("_a")), "left")
         .join(everywhere, (F.col("repository_id") == F.col("_gr")) & (F.col("callee") == F.col("_gn")) & (F.col("arg_count") == F.col("_ga")) & (F.col("scope_kind") == "NONE") & F.col("_own").isNull(), "left")
-        .join(stores, (F.col("repository_id") == F.col("_sr")) & (F.col("scope_type_id") == F.col("_store")), "left")
-        .join(sources, (F.col("repository_id") == F.col("_xr")) & (F.col("source_id") == F.col("_xid")), "left")
+    )
+    looked_up = materialize(looked_up.select(*scoped.columns, "_own", "_own_id", "_all", "_all_id"), "looked-up")
+    done_with(scoped)
+    found = (
+        looked_up.join(shuffled(stores), (F.col("repository_id") == F.col("_sr")) & (F.col("scope_type_id") == F.col("_store")), "left")
+        .join(shuffled(sources), (F.col("repository_id") == F.col("_xr")) & (F.col("source_id") == F.col("_xid")), "left")
     )
     n = F.coalesce("_own", "_all", F.lit(0))
     outcome = (
@@ -159,7 +168,7 @@ def entity_access_edges(outcomes: DataFrame, managed: DataFrame) -> DataFrame:
     """Reads and writes of the entity that the called repository manages."""
     entity = managed.groupBy(F.col("repository_id").alias("_r"), F.col("source_id").alias("_s")).agg(F.min_by("target_id", F.struct("relative_path", "line", "column", "target_id")).alias("_entity"))
     hit = outcomes.where("outcome = 'REPOSITORY'").withColumn("_kind", data_access(F.col("callee"))).where("_kind is not null")
-    found = hit.join(entity, (F.col("repository_id") == F.col("_r")) & (F.col("target_id") == F.col("_s")))
+    found = hit.join(shuffled(entity), (F.col("repository_id") == F.col("_r")) & (F.col("target_id") == F.col("_s")))
     return _edges(found, "_entity", F.col("_kind"), 0.80, "SPRING_DATA_METHOD", F.col("expr_text"), 5, "source_id")
 
 
